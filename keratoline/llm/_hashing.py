@@ -107,6 +107,27 @@ def doc_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return data[at[0] : at[-1]], at - at[0]
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+def words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of every word (bytes other than ASCII white space), and where each text's words start."""
+    data, starts = doc_bytes(column)
+    has = np.diff(starts) > 0
+    word = ~SPACE[data]
+    at = word.copy()
+    at[1:] &= ~word[:-1]
+    first = starts[:-1][has]
+    at[first] = word[first]
+    at = np.flatnonzero(at)
+    stop = word.copy()
+    stop[:-1] &= ~word[1:]
+    last = starts[1:][has] - 1
+    stop[last] = word[last]
+    return spans_hash(data, at, np.flatnonzero(stop) + 1), np.searchsorted(at, starts)
+
+
 def short_tail(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     """Bool per position: fewer than k positions are left in its document."""
     size = np.diff(starts)

@@ -24,8 +24,6 @@ from keratoline.llm import _hashing as H
 from keratoline.llm import _spark as S
 
 PROBE, PASSAGE = 0, 1
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _NEVER = np.int64(-(1 << 63))  # documents without an id: they take no part
 
 
@@ -33,20 +31,8 @@ class Words:
     """The words of one unit's documents: fingerprints, and where each document's begin."""
 
     def __init__(self, unit: pa.Table, window: int):
-        data, starts = H.doc_bytes(unit["text"])
-        word = ~SPACE[data]
-        at = word.copy()
-        at[1:] &= ~word[:-1]
-        first = starts[:-1][np.diff(starts) > 0]
-        at[first] = word[first]
-        at = np.flatnonzero(at)
-        stop = word
-        stop[:-1] &= ~word[1:] if len(word) else word
-        ends = starts[1:][np.diff(starts) > 0] - 1
-        stop[ends] = ~SPACE[data[ends]]
-        self.hash = H.spans_hash(data, at, np.flatnonzero(stop) + 1)
-        self.starts = np.searchsorted(at, starts)
-        self.n = len(at)
+        self.hash, self.starts = H.words(unit["text"])
+        self.n = len(self.hash)
         ids = unit["id"].combine_chunks() if unit["id"].num_chunks != 1 else unit["id"].chunk(0)
         self.ids = np.asarray(pc.fill_null(ids.cast(pa.int64()), int(_NEVER)))
         self.doc = np.repeat(self.ids, np.diff(self.starts))
