@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a folder of our own is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's spark.checkpoint.dir; only where that is unset (tests on one machine), one of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         told = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(told or os.path.join(tempfile.gettempdir(), "keratoline-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def unit_of(doc_id: str, text: str, units: int) -> Column:
     """Spreads documents evenly over units; a null id falls back on the text."""
     return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text))), F.lit(units)).cast("int")
@@ -68,3 +77,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not changed:
             return labels.select("v", F.col("c").alias("component"))
     raise RuntimeError("connected components did not settle")
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under columns of their own, so that frames of one origin can be cogrouped."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keratoline.llm import chat, ngram_join, packing, sharding, substring, suffix, toxicity
+from keratoline.llm import chat, embed_dedup, ngram_join, packing, sentencepieces, sharding, substring, suffix, topk, toxicity
 from keratoline.llm._spark import table
 
 
@@ -26,6 +27,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_seen_passages(table(spark, sf_dir, "documents"), digest=True)
 
@@ -45,5 +58,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_best_fit_packing, op7_substring_dedup, op8_chat_format, op9_suffix_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_best_fit_packing, op4_exact_topk, op5_embedding_near_dedup, op6_sentencepiece, op7_substring_dedup, op8_chat_format, op9_suffix_dedup, op10_sharding)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
