@@ -369,7 +369,6 @@ def _by_case(parts: list[str]) -> str:
 
 
 def _repair_query(name: str, field: str, tokens: list[str], values: list[str], wanted: list[str]) -> None:
-    all1 = "CASE WHEN CAST('1.' || d || b AS DOUBLE) <= 5 THEN -(CASE WHEN d + b / 100.0 <= 5 THEN d + b / 100.0 ELSE CAST('1.' || d || b AS DOUBLE) END) END"
     all1 = "CASE WHEN d + b / 100.0 <= 5 THEN -(d + b / 100.0) ELSE -CAST('1.' || d || b AS DOUBLE) END"
     neg = "CASE WHEN CAST(c || '.' || d || b AS DOUBLE) <= 5 THEN -CAST(c || '.' || d || b AS DOUBLE) ELSE -(c * 10.0 + d + b / 100.0) END"
     wanted = [w.format(all1=all1, neg=neg) for w in wanted]
@@ -377,7 +376,7 @@ def _repair_query(name: str, field: str, tokens: list[str], values: list[str], w
     def run(spark, sf_dir):
         table(spark, sf_dir, "events").createOrReplaceTempView("keratoline_events")
         rows = spark.sql(f"SELECT event_id, CAST({_by_case(values)} AS DOUBLE) AS v, {_by_case(tokens)} AS tok FROM {_PARTS.replace('FROM events', 'FROM keratoline_events')}")
-        return rows.select("event_id", F.round(numbers.repair(F.lit(field), F.col("v"), F.col("tok")), 6).alias("value"))
+        return numbers.repair(rows.withColumn("field", F.lit(field)), "field", "v", "tok").select("event_id", F.round("v", 6).alias("value"))
 
     QUERIES[f"repair_{name}"] = run
     ORACLE[f"repair_{name}"] = f"SELECT event_id, round(CAST({_by_case(wanted)} AS DOUBLE), 6) AS value FROM {_PARTS}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keratoline.functions.dates import trimmed
@@ -76,38 +76,33 @@ def _shifted(tok: Column, pattern: str, groups: tuple[int, ...] = (1,)) -> Colum
     return number(parts[0] if len(parts) == 1 else F.concat(parts[0], F.lit("."), parts[1]))
 
 
-def fix_coordinate(value: Column, raw: Column) -> Column:
-    tok = token(raw, r"(\[", ")")
+def fix_coordinate(value: Column, tok: Column, digits: Column) -> Column:
+    """tok: the first word without brackets; digits: its digits without sign and point."""
     near = lambda c: F.when(F.abs(c) <= 5, c)
-    flipped = near(_shifted(tok, r"^1\+([0-9]+\.[0-9]+)\z"))
-    bare = F.regexp_replace(tok, r"^[+-]+", "")
-    digits = F.concat(F.regexp_extract(bare, r"^([0-9]*)\.?([0-9]*)\z", 1), F.regexp_extract(bare, r"^([0-9]*)\.?([0-9]*)\z", 2))
     sign = F.when(F.startswith(tok, F.lit("+")), 1.0).otherwise(-1.0)
-    spread = near(_shifted(digits, r"^([0-9])([0-9]+)\z", (1, 2))) * sign
-    far = F.coalesce(-near(_shifted(tok, r"^1([0-9]\.[0-9]+)\z")), -near(_shifted(tok, r"^[0-9]([0-9]\.[0-9]+)\z")), spread, value)
-    return F.coalesce(-flipped, F.when(F.abs(value) > 3, far).otherwise(value))
+    spread = near(number(F.regexp_replace(digits, r"^([0-9])([0-9]+)\z", "$1.$2"))) * sign
+    far = F.coalesce(-near(_shifted(tok, r"^[0-9]([0-9]\.[0-9]+)\z")), F.when(F.length(digits) > 1, spread), value)
+    return F.coalesce(-near(_shifted(tok, r"^1\+([0-9]+\.[0-9]+)\z")), F.when(F.abs(value) > 3, far).otherwise(value))
 
 
-def fix_back_power(value: Column, raw: Column) -> Column:
-    tok = token(raw, trail="dD")
-    read = F.coalesce(_shifted(tok, r"^1([0-9]+\.[0-9]+)\z"), _shifted(tok, r"^([0-9])([0-9])\z", (1, 2)), _shifted(tok, r"^1([0-9])([0-9])\z", (1, 2)), F.abs(value))
+def fix_back_power(value: Column, tok: Column) -> Column:
+    read = F.coalesce(_shifted(tok, r"^1([0-9]+\.[0-9]+)\z"), _shifted(tok, r"^1?([0-9])([0-9])\z", (1, 2)), F.abs(value))
     return F.when(value > 0, -read).otherwise(value)
 
 
-def fix_front_power(value: Column, raw: Column) -> Column:
-    tok = token(raw, trail="dD")
-    return F.when(value > 100, F.coalesce(_shifted(tok, r"^1([3-9][0-9]\.[0-9]+)\z"), _shifted(tok, r"^([3-9][0-9])([0-9]{1,2})\z", (1, 2)), value)).otherwise(value)
+def fix_front_power(value: Column, tok: Column) -> Column:
+    read = F.coalesce(_shifted(tok, r"^1([3-9][0-9]\.[0-9]+)\z"), _shifted(tok, r"^([3-9][0-9])([0-9]{1,2})\z", (1, 2)), value)
+    return F.when(value > 100, read).otherwise(value)
 
 
-def fix_astigmatism(value: Column, raw: Column) -> Column:
-    tok = token(raw, trail="dD")
+def fix_astigmatism(value: Column, tok: Column) -> Column:
     one = number(F.concat(F.lit("1."), _first(tok, r"^1([1-9])\z", 1)))
     tenth = number(F.concat(F.lit("0."), _first(tok, r"^10([0-9])(?:\.[0-9]*)?\z", 1)))
     return (
         F.when((value > 10) & (value < 11), value - 10)
         .when((value >= 11) & (value <= 20), F.coalesce(_shifted(tok, r"^1([0-9]\.[0-9]+)\z"), one, value))
         .when((value >= 100) & (value < 120), F.coalesce(tenth, value))
-        .when((value < 0) & F.startswith(token(raw), F.lit("1-")), F.abs(value))
+        .when((value < 0) & F.startswith(tok, F.lit("1-")), F.abs(value))
         .otherwise(value)
     )
 
@@ -117,20 +112,8 @@ def fix_asphericity(value: Column) -> Column:
     return F.when(value > 5, F.when(rest <= 2.5, -rest).otherwise(-(value - 10))).otherwise(value)
 
 
-def _spurious_digit(value: Column, raw: Column, above: float, trail: str, pattern: str) -> Column:
-    return F.when(value > above, F.coalesce(_shifted(token(raw, trail=trail), pattern), value)).otherwise(value)
-
-
-def fix_radius(value: Column, raw: Column) -> Column:
-    return _spurious_digit(value, raw, 12, "mM", r"^[0-9]([4-9]\.[0-9]+)\z")
-
-
-def fix_pupil(value: Column, raw: Column) -> Column:
-    return _spurious_digit(value, raw, 10, "dDmM", r"^1([0-9]\.[0-9]+)\z")
-
-
-def fix_depth(value: Column, raw: Column) -> Column:
-    return _spurious_digit(value, raw, 10, "mM", r"^1([0-9]\.[0-9]+)\z")
+def fix_spurious_digit(value: Column, tok: Column, above: float, pattern: str) -> Column:
+    return F.when(value > above, F.coalesce(_shifted(tok, pattern), value)).otherwise(value)
 
 
 def fix_thickness(value: Column) -> Column:
@@ -141,20 +124,26 @@ def fix_thickness(value: Column) -> Column:
 
 _POWERS = ("K1", "K2", "Km")
 _RADII = ("Rf", "Rs", "Rm", "Rmin", "Rper")
-
-
-def repair(field: Column, value: Column, raw: Column) -> Column:
-    """All rules in one expression: each reads its own measurement only, so their order is of no matter."""
-    coordinates = [f"{f}_{p}" for f in ("PupilCenter", "PachyVertex", "Thinnest", "Kmax") for p in "xy"]
-    return (
-        F.when(field.isin(coordinates), fix_coordinate(value, raw))
-        .when(field.isin([f"{k}_back" for k in _POWERS]), fix_back_power(value, raw))
-        .when(field.isin([*(f"{k}_front" for k in _POWERS), "Kmax"]), fix_front_power(value, raw))
-        .when(field.isin("Astig_front", "Astig_back"), fix_astigmatism(value, raw))
-        .when(field.isin("Qval_front", "Qval_back"), fix_asphericity(value))
-        .when(field.isin([f"{r}_{s}" for r in _RADII for s in ("front", "back")]), fix_radius(value, raw))
-        .when(field == "PupilDia", fix_pupil(value, raw))
-        .when(field == "AC_depth", fix_depth(value, raw))
-        .when(field.isin("Thinnest", "PachyVertex", "PupilCenter"), fix_thickness(value))
-        .otherwise(value)
+_EXTRA = r"^1([0-9]\.[0-9]+)\z"
+
+
+def repair(rows: DataFrame, field: str = "field", value: str = "value", raw: str = "raw_text") -> DataFrame:
+    """Rows with `value` repaired. All rules in one projection: each reads its own measurement only, so their order is of no matter."""
+    f, v = F.col(field), F.col(value)
+    with_tokens = rows.withColumn("__word", token(F.col(raw))).withColumns({
+        "__bare": F.regexp_replace("__word", r"^[(\[]+|\)+\z", ""), "__power": F.regexp_replace("__word", r"[dD]+\z", ""), "__size": F.regexp_replace("__word", r"[mM]+\z", ""), "__both": F.regexp_replace("__word", r"[dDmM]+\z", ""),
+    }).withColumn("__digits", F.regexp_extract(F.regexp_replace("__bare", r"^[+-]*([0-9]*)\.?([0-9]*)\z", "$1$2"), r"^[0-9]+\z", 0))
+    coordinates = [f"{t}_{p}" for t in ("PupilCenter", "PachyVertex", "Thinnest", "Kmax") for p in "xy"]
+    fixed = (
+        F.when(f.isin(coordinates), fix_coordinate(v, F.col("__bare"), F.col("__digits")))
+        .when(f.isin([f"{k}_back" for k in _POWERS]), fix_back_power(v, F.col("__power")))
+        .when(f.isin([*(f"{k}_front" for k in _POWERS), "Kmax"]), fix_front_power(v, F.col("__power")))
+        .when(f.isin("Astig_front", "Astig_back"), fix_astigmatism(v, F.col("__power")))
+        .when(f.isin("Qval_front", "Qval_back"), fix_asphericity(v))
+        .when(f.isin([f"{r}_{s}" for r in _RADII for s in ("front", "back")]), fix_spurious_digit(v, F.col("__size"), 12, r"^[0-9]([4-9]\.[0-9]+)\z"))
+        .when(f == "PupilDia", fix_spurious_digit(v, F.col("__both"), 10, _EXTRA))
+        .when(f == "AC_depth", fix_spurious_digit(v, F.col("__size"), 10, _EXTRA))
+        .when(f.isin("Thinnest", "PachyVertex", "PupilCenter"), fix_thickness(v))
+        .otherwise(v)
     )
+    return with_tokens.select(*[fixed.alias(c) if c == value else F.col(c) for c in rows.columns])

@@ -310,10 +310,6 @@ def locate_on_belin(items: DataFrame, pages: DataFrame, layouts: DataFrame) -> D
     return union_first([claimed, best], ["page_id", "field"], ["cy"]).select(*LOCATED)
 
 
-def repaired(located: DataFrame) -> DataFrame:
-    return located.withColumn("value", repair(F.col("field"), F.col("value"), F.col("raw_text")))
-
-
 def shift_gen1(located: DataFrame, pages: DataFrame) -> DataFrame:
     """On first-generation pages, values that slipped one column to the right go back."""
     from pyspark.sql import Window
@@ -408,14 +404,14 @@ def extract(items: DataFrame, layouts: DataFrame, read_crops=None) -> tuple[Data
     known = pages.where("printout_type is not null")
     belin, maps = known.where(F.col("printout_type") == BELIN), known.where(F.col("printout_type") != BELIN)
     located = locate_on_maps(items, maps, layouts).unionByName(locate_on_belin(items, belin, layouts))
-    located = shift_gen1(repaired(located), known)
+    located = shift_gen1(repair(located), known)
     chosen = choose_layout(located, known, layouts)
     located = mutually_exclusive(located, ["page_id"], "KPD", "HWTW")
     if read_crops is not None:
         for kind in ("missing", "suspicious", "sign"):
             requests = crop_requests(located, fit_pages(located, chosen, layouts), layouts, kind)
             located = apply_crops(located, requests, read_crops(requests))
-    located = within_ranges(repaired(located), dims.ranges(items.sparkSession))
+    located = within_ranges(repair(located), dims.ranges(items.sparkSession))
     counts = located.groupBy("page_id").agg(F.count("*").cast("int").alias("n_fields"))
     told = chosen.join(counts, "page_id", "left").na.fill({"n_fields": 0})
     least = F.when(F.col("printout_type") == BELIN, 8).otherwise(25)
