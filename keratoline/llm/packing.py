@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = b"\0\0\0\0"  # id 0
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+# Byte-level vocabularies show printable bytes as they are and the others, in order, from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+BLANK = chr(SHOWN[32])
 
 
 class OpenBins:
@@ -57,6 +64,37 @@ class OpenBins:
         return at, self.size - free
 
 
+class Words(dict):
+    """The ids of words that follow a space, learnt when first met; `keep` words at most, then it starts anew."""
+
+    MARKS = ".,;:!?%&*$#"
+
+    def __init__(self, tokenizer, keep: int):
+        self.tokenizer, self.keep = tokenizer, keep
+        self.marks: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.keep:
+            self.clear()
+        if LETTERS.match(word):  # one piece of the pattern, so it goes to the merges at once
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(BLANK + shown)]).tobytes()
+        else:
+            base = word.rstrip(self.MARKS)
+            end = word[len(base) :]
+            if end and base[-1:].isalpha():  # the pattern too cuts marks from a letter before them
+                if end not in self.marks:
+                    self.marks[end] = self.encode(end)
+                ids = self[base] + self.marks[end]
+            else:
+                ids = self.encode(f" {word}")
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, with the words met lately kept.
 
@@ -66,32 +104,31 @@ class Encoder:
 
     ODD = re.compile(r"\s ")
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are laid out as little-endian unsigned 32-bit numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.keep = keep
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.ODD.search(t) else t.split(" ") for t in texts]
-        heads = self.whole([t if p is None else p[0] for t, p in zip(texts, parts, strict=True)])
-        new: set[str] = set()
-        for p in parts:
-            if p:
-                new.update(p[1:])
-        if len(self.words) + len(new) > self.keep + len(new & self.words.keys()):
-            self.words.clear()
-        words = self.words
-        fresh = [w for w in new if w not in words]
-        words.update(zip(fresh, self.whole([f" {w}" for w in fresh]), strict=True))
-        return [h if p is None else h + b"".join(map(words.__getitem__, p[1:])) for h, p in zip(heads, parts, strict=True)]
+        self.words = Words(self.tokenizer, keep)
+
+    def __call__(self, text: str) -> bytes:
+        if self.ODD.search(text):
+            return self.words.encode(text)
+        head, *rest = text.split(" ")
+        return self.words.encode(head) + b"".join(map(self.words.__getitem__, rest))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker, so words met in one task are known in the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, open_bins: int = 4096) -> DataFrame:
@@ -121,22 +158,21 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, size: int, open_
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        encoder, bins = Encoder(path), OpenBins(size, open_bins)
+        encoder, bins = encoder_of(path), OpenBins(size, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows, whole = [], []
-            for s in range(0, len(texts), 256):
-                for i, data in enumerate(encoder(texts[s : s + 256]), s):
-                    data += SEPARATOR
-                    n = len(data) // 4
-                    at, to, piece = 0, n % size or min(n, size), 0
-                    while at < n:
-                        part = data[4 * at : 4 * to]
-                        rows.append((i, piece, at, to - at, zlib.crc32(part)))
-                        if ids:
-                            whole.append(np.frombuffer(part, "<i4"))
-                        at, to, piece = to, to + size, piece + 1
+            for i, text in enumerate(texts):
+                data = encoder(text) + SEPARATOR
+                n = len(data) // 4
+                at, to, piece = 0, n % size or min(n, size), 0
+                while at < n:
+                    part = data[4 * at : 4 * to]
+                    rows.append((i, piece, at, to - at, zlib.crc32(part)))
+                    if ids:
+                        whole.append(np.frombuffer(part, "<i4"))
+                    at, to, piece = to, to + size, piece + 1
             where = [(0, 0)] * len(rows)
             for j in sorted(range(len(rows)), key=lambda j: -rows[j][3]):
                 where[j] = bins.place(rows[j][3])
