@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from keratoline import dims
 from keratoline.functions.dates import eye_phrase, header_date, header_time, trimmed
 from keratoline.functions.numbers import extract_numeric, quality_code, repair, signed_number
+from keratoline.materialize import settled
 from keratoline.operators.filters import classify, mutually_exclusive, qa_status, within_ranges
 from keratoline.operators.joins import band_join, union_first
 from keratoline.operators.ranking import cluster_mode, first_by, first_claim, reading_order
@@ -209,14 +210,14 @@ def read_axes(reading: DataFrame, zoned: DataFrame, located: DataFrame) -> DataF
 
 def locate_on_maps(items: DataFrame, pages: DataFrame, layouts: DataFrame) -> DataFrame:
     """Labels, then ambiguous labels, then places, then axis tokens; earlier phases win."""
-    reading = reading_order(items.join(pages.select("page_id"), "page_id"), "page_id", "cy", "cx", "ord")
-    zoned = zones(reading, pages)
-    claimed = claim_labels(reading, zoned)
+    reading = settled(reading_order(items.join(pages.select("page_id"), "page_id"), "page_id", "cy", "cx", "ord"))
+    zoned = settled(zones(reading, pages))
+    claimed = settled(claim_labels(reading, zoned))
     tall = is_tall(F.col("height"))
     fitted = fit_pages(claimed, pages.withColumn("layout", F.when(F.col("printout_type") == TOPO, F.lit(TOPO_LAYOUT)).when(tall, F.lit(TALL)).otherwise(F.lit(MAPS))), layouts)
-    places = predicted(fitted, layouts)
-    second = union_first([claimed, claim_ambiguous(reading, zoned, places, claimed)], ["page_id", "field"], ["cy"])
-    third = union_first([second, read_places(reading, places, second)], ["page_id", "field"], ["cy"])
+    places = settled(predicted(fitted, layouts))
+    second = settled(union_first([claimed, claim_ambiguous(reading, zoned, places, claimed)], ["page_id", "field"], ["cy"]))
+    third = settled(union_first([second, read_places(reading, places, second)], ["page_id", "field"], ["cy"]))
     return union_first([third, read_axes(reading, zoned, third)], ["page_id", "field"], ["cy"]).select(*LOCATED)
 
 
@@ -300,7 +301,7 @@ def claim_scores(items: DataFrame) -> DataFrame:
 
 def locate_on_belin(items: DataFrame, pages: DataFrame, layouts: DataFrame) -> DataFrame:
     own = items.join(pages.select("page_id"), "page_id")
-    claimed = union_first([claim_belin(own), claim_scores(own)], ["page_id", "field"], ["cy"])
+    claimed = settled(union_first([claim_belin(own), claim_scores(own)], ["page_id", "field"], ["cy"]))
     places = predicted(fit_pages(claimed, pages.withColumn("layout", F.lit(BELIN_LAYOUT)), layouts), layouts).where("field <> 'Belin_QS'")
     missing = places.join(claimed.select("page_id", "field"), ["page_id", "field"], "left_anti").withColumn("py", F.col("py").cast("float"))
     values = own.select("page_id", F.col("ord").alias("v_ord"), F.col("text").alias("v_text"), F.col("confidence").alias("v_conf"), F.col("cx").alias("v_cx"), F.col("cy").alias("v_cy"), signed_number(F.col("text")).alias("value")).where("value is not null")
@@ -400,18 +401,18 @@ def extract(items: DataFrame, layouts: DataFrame, read_crops=None) -> tuple[Data
     read_crops(requests) -> (page_id, field, kind, value, conf, text) is the
     reading engine's second look; without one, nothing is read again.
     """
-    pages = page_types(items)
+    pages = settled(page_types(items))
     known = pages.where("printout_type is not null")
     belin, maps = known.where(F.col("printout_type") == BELIN), known.where(F.col("printout_type") != BELIN)
     located = locate_on_maps(items, maps, layouts).unionByName(locate_on_belin(items, belin, layouts))
-    located = shift_gen1(repair(located), known)
-    chosen = choose_layout(located, known, layouts)
+    located = settled(shift_gen1(repair(located), known))
+    chosen = settled(choose_layout(located, known, layouts))
     located = mutually_exclusive(located, ["page_id"], "KPD", "HWTW")
     if read_crops is not None:
         for kind in ("missing", "suspicious", "sign"):
             requests = crop_requests(located, fit_pages(located, chosen, layouts), layouts, kind)
-            located = apply_crops(located, requests, read_crops(requests))
-    located = within_ranges(repair(located), dims.ranges(items.sparkSession))
+            located = settled(apply_crops(located, requests, read_crops(requests)))
+    located = settled(within_ranges(repair(located), dims.ranges(items.sparkSession)))
     counts = located.groupBy("page_id").agg(F.count("*").cast("int").alias("n_fields"))
     told = chosen.join(counts, "page_id", "left").na.fill({"n_fields": 0})
     least = F.when(F.col("printout_type") == BELIN, 8).otherwise(25)
