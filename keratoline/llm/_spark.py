@@ -57,9 +57,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     min() before they are shuffled. A round reads the one before it from the
     checkpoint folder; only a count comes to the driver.
     """
-    both = checkpoint(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
-    )
+    given = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    # Every vertex keeps its smallest neighbour, and hands its others on to it: a group met in many buckets shrinks to a star.
+    lowest = given.groupBy("b").agg(F.min("a").alias("low"))
+    kept = checkpoint(given.join(lowest, "b").select("a", "b", "low"))
+    thin = kept.where("a = low").select("low", "b").union(kept.where("a <> low").select("low", F.col("a").alias("b")).distinct())
+    both = checkpoint(thin.select(F.col("low").alias("a"), "b").union(thin.select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")))
     for _ in range(rounds):
         near = (
