@@ -2,8 +2,9 @@
 
 Documents with the same set of shingles form a class. Each run splits all
 classes on one sampled shared token (the smallest shingle under a hash drawn
-for it); a bucket that is still large is split again and again on further
-tokens, along BRANCHES paths, and a small one is compared by brute force on
+for it); a bucket that is still large first compares its members with one of
+them, drops those that are close to it, and is split again and again on further
+tokens, along BRANCHES paths; a small one is compared by brute force on
 sketches. Runs are repeated until a pair at the threshold is missed with a
 probability below MISS. What sketches connect is then compared on the whole
 sets, each pair exactly, in tiles, so links are counted without being listed.
@@ -26,6 +27,9 @@ RUNS_AT_LEAST = 10
 MISS = 1e-6
 BUCKET = 200
 BRANCHES, DEPTH = 2, 4
+# Shares of tokens that a member of a large bucket has in common with its pivot, to be connected to it and to be done
+# with. They are further apart than two sets at the threshold can be, so what is like one that is done with is connected.
+LINKED, CLOSE = 0.35, 0.65
 TILE = 512
 _MULTIPLIERS = H.mix(np.arange(1, TOKENS + 1, dtype=H.U64) * H.U64(0xD1342543DE82EF95)) | H.U64(1)
 
@@ -83,6 +87,14 @@ def _token(j: int):
     return F.substring("sketch", 4 * j + 1, 4)
 
 
+def _matches(a: str, b: str):
+    """How many tokens two sketches share."""
+    same = F.lit(0)
+    for j in range(TOKENS):
+        same = same + (F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4)).cast("int")
+    return same
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest row reachable from each of n rows over the pairs a - b."""
     root = np.arange(n)
@@ -164,7 +176,14 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         large = sized.where(F.col("size") > BUCKET).select("v", "run", "bucket")
         if not large.limit(1).count():
             return edges
-        level = large.join(narrow, "v").select("v", "run", F.explode(F.array(*[
+        # What is close to a large bucket as a whole need not be split: an edge to one member connects it, and by the
+        # triangle inequality all that is like it has an edge to that member too.
+        turn = F.xxhash64("v", "bucket")  # another pivot for each bucket
+        pivots = large.join(narrow, "v").groupBy("bucket").agg(F.min_by("v", turn).alias("a"), F.min_by("sketch", turn).alias("pivot"))
+        facing = S.checkpoint(large.join(narrow, "v").join(pivots, "bucket").withColumn("alike", _matches("sketch", "pivot")))
+        edges = edges.union(facing.where((F.col("alike") >= round(LINKED * TOKENS)) & (F.col("v") != F.col("a"))).select("a", F.col("v").alias("b")).distinct())
+        rest = facing.where(F.col("alike") < round(CLOSE * TOKENS))
+        level = rest.select("v", "run", F.explode(F.array(*[
             F.xxhash64("bucket", F.lit(i), F.substring(F.col("sketch"), F.pmod(F.xxhash64("run", F.lit(depth), F.lit(i)), F.lit(TOKENS)).cast("int") * 4 + 1, F.lit(4)))
             for i in range(BRANCHES)
         ])).alias("bucket"))
