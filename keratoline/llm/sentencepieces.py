@@ -53,7 +53,7 @@ class Pieces:
 class Codec:
     """Encodes and decodes texts; the words met lately are kept with their ids."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         self.pieces, self.keep = Pieces(path), keep
         self.words: dict[str, bytes] = {}
 
@@ -119,6 +119,16 @@ class Codec:
         return b"".join(map(self.pieces.shown.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """One codec a Python worker, so words met in one task are known in the next."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds `out`, the ids (array of int) of each whole text; null for null, empty for empty.
 
@@ -128,7 +138,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
     at = kept.index(text)
 
     def run(batches):
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in batches:
             ids = [None if t is None else np.frombuffer(codec.encode(t), "<i4") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
@@ -145,7 +155,7 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
     at = kept.index(ids)
 
     def run(batches):
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in batches:
             texts = [None if x is None else codec.decode(np.array(x, "<u4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
@@ -165,7 +175,7 @@ def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: s
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in batches:
             n, crc, sha = [], [], []
             for t in batch.column(1).to_pylist():
