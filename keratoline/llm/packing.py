@@ -104,7 +104,7 @@ class Encoder:
 
     ODD = re.compile(r"\s ")
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 1_400_000):
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
