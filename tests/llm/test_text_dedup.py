@@ -177,3 +177,98 @@ def test_fingerprints_and_packing():
     assert data.tobytes() == "abé".encode() and starts.tolist() == [0, 2, 2, 2, 4]
     _, at = H.words(pa.array(["a b", None, " ", "c\vd  e"]))
     assert at.tolist() == [0, 2, 2, 2, 5]
+
+
+def near_copies(rng, groups, size, length, changes, prefix):
+    """Texts of groups of near copies: `length` words of which up to `changes` are replaced."""
+    texts = []
+    for g in range(groups):
+        base = [f"{prefix}{g}_{i}" for i in range(length)]
+        for c in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, changes)):
+                copy[rng.randrange(length)] = f"x{g}_{c}_{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def linked_ids(rows):
+    return {r[0]: (r[2], r[3]) for r in brute_near(rows)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 8}, {"BUCKET": 8, "HELD": 40, "DEPTH": 2}, {"BUCKET": 4, "HELD": 12, "DEPTH": 1, "TILE": 900}])
+def test_join_of_a_large_group_of_near_copies(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(5)
+    texts = near_copies(rng, 1, 160, 70, 3, "a") + near_copies(rng, 3, 12, 40, 1, "b") + near_copies(rng, 40, 1, 50, 0, "c")
+    rng.shuffle(texts)
+    rows = [(i, t, 1, "x", 5, True) for i, t in enumerate(texts)]
+    want = linked_ids(rows)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want and max(n for n, _ in got.values()) > 60
+
+
+@pytest.mark.parametrize("limits", [{}, {"BUCKET": 8}, {"BUCKET": 8, "HELD": 60, "DEPTH": 2}])
+def test_join_finds_lone_pairs_near_the_threshold(spark, monkeypatch, limits):
+    """Pairs of 0.8 to 0.85 that no third document connects, all of which share a long head, so their buckets are large and must be split."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(6)
+    head = [f"h{i}" for i in range(20)]
+    texts = []
+    for p in range(120):
+        body = [f"p{p}_{i}" for i in range(44)]
+        copy = list(body)
+        copy[rng.randint(10, 30)] = "y"
+        texts += [" ".join(head + body), " ".join(head + copy)]
+    rows = [(i, t, 1, "x", 5, True) for i, t in enumerate(texts)]
+    want = linked_ids(rows)
+    assert all(n == 1 for n, _ in want.values())
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
+
+
+def test_paths_keep_pairs_at_the_threshold():
+    """Sketches of pairs that agree in four of five places, hidden in one bucket: the trials find nearly all."""
+    rng = np.random.default_rng(7)
+    left = rng.integers(0, 40, (1500, ngram_join.TOKENS)).astype(np.uint32)
+    right = left.copy()
+    for row in right:
+        other = rng.permutation(ngram_join.TOKENS)[: ngram_join.TOKENS // 5]
+        row[other] = rng.integers(100, 10**6, len(other))
+    least = round(0.5 * ngram_join.TOKENS)
+    root = ngram_join.Paths(np.concatenate([left, right]), 0.8, least, 1).root
+    assert (root[:1500] == root[1500:]).mean() > 0.97
+    runs, trials = ngram_join.repeats(0.8)
+    kept = 0.8 * (1 - (1 - ngram_join.survival(0.8, ngram_join.DEPTH)) ** trials)
+    assert (1 - kept) ** runs <= ngram_join.MISS
+
+
+def test_links_of_a_tile_match_counting():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 80).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.04], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(90)]
+    sets += [np.unique(rng.integers(0, 60, 12).astype(np.uint64)) for _ in range(60)]
+    side, weight = rng.integers(0, 2, len(sets)), rng.integers(1, 4, len(sets))
+    for within in (True, False):
+        for some in (slice(0, 90), slice(0, None), slice(90, None), slice(0, 2)):
+            own, s, w = sets[some], side[some], weight[some]
+            got, _ = ngram_join.linked(own, s, within, w, 0.8)
+            want = [sum(w[j] for j in range(len(own)) if j != i and (within or s[i] != s[j]) and len(np.intersect1d(a, own[j])) >= 0.8 * len(np.union1d(a, own[j]))) for i, a in enumerate(own)]
+            assert got.tolist() == want
+
+
+def test_dropping_near_duplicates_keeps_every_other_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a, 1, "x", 1, True), (5, a + " end", 1, "x", 2, True), (5, b, 1, "x", 3, True), (5, b, 1, "x", 3, True), (6, c, 1, "x", 4, True), (6, c, 1, "y", 4, True),
+            (None, a, 1, "x", 5, True), (None, a, 1, "x", 5, True), (7, None, 1, "x", 6, True), (8, "", 1, "x", 7, True), (8, "", 1, "x", 7, True), (9, "short", 1, "x", 8, True), (10, "short", 1, "x", 9, True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = ngram_join.drop_near_duplicates(df)
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    six = [r for r in got if r[0] == 6]
+    assert len(six) == 1 and six[0] in rows
+    assert sorted((r for r in got if r[0] != 6), key=key) == sorted([rows[0], rows[2], *rows[6:12]], key=key)
+    assert ngram_join.drop_near_duplicates(df.limit(0)).collect() == []
