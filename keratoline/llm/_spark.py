@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,30 +20,50 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of the session's spark.checkpoint.dir; only where that is unset (tests on one machine), one of our own."""
+    """The folder of the session's spark.checkpoint.dir. Where that is unset, one of our own, but on a single machine only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(told or os.path.join(tempfile.gettempdir(), "keratoline-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's shared checkpoint folder."""
+    """Cuts the lineage in the cluster's shared checkpoint folder.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when the
+    driver no longer holds the frame.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written as Parquet in the shared folder and read again; the path, to be removed when nothing reads it any more."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what written() has written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that no column has, upper and lower case being alike."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def unit_of(doc_id: str, text: str, units: int) -> Column:
-    """Spreads documents evenly over units; a null id falls back on the text."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text))), F.lit(units)).cast("int")
+    """Spreads documents evenly over units, by id and text, so rows of one id with different texts are spread too."""
+    return F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(units)).cast("int")
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:

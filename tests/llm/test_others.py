@@ -280,3 +280,31 @@ def test_pipeline_stages(spark, data):
         assert removed[r.doc_id] - 8 <= len(r.text.encode()) <= removed[r.doc_id] and r.n_chars == len(r.text)
     out = P.run(spark, data)
     assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 0
+
+
+def test_pipeline_stages_of_odd_documents(spark, data):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, row int, v int, u int, id string"
+    passage = " ".join(f"p{i}" for i in range(80))
+    near = " ".join(f"n{i}" for i in range(60))
+    tail, head = " ".join(f"t{i}" for i in range(40)), " ".join(f"h{i}" for i in range(40))
+    texts = [None, "", " ", "word " * 9000, near, near + " end", f"{passage} {tail}", f"{head} {passage}"]
+    rows = [(i, t, "en", "s", None if t is None else len(t), "kept", 7, 8, 9, "ten") for i, t in enumerate(texts)]
+    rows += [rows[5], (5, "a text of its own under a repeated id", "en", "s", 37, "kept", 7, 8, 9, "ten"), (None, near, "en", "s", len(near), "kept", 7, 8, 9, "ten"), rows[1]]
+    df = spark.createDataFrame(rows, schema)
+    order = lambda rs: sorted(map(tuple, rs), key=lambda r: tuple((x is None, x) for x in r))
+    assert order(P.toxicity_stage(spark, df, data).collect()) == order(rows)
+    kept = P.ngram_jaccard_stage(spark, df, data)
+    assert kept.dtypes == df.dtypes and order(kept.collect()) == order(rows[:5] + rows[6:8] + rows[9:])
+    cut = P.suffix_array_stage(spark, df, data)
+    assert cut.dtypes == df.dtypes and cut.count() == len(rows)
+    by_id = {}
+    for r in cut.collect():
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert by_id[0][0].text is None and by_id[0][0].n_chars is None and by_id[1][0].text == ""
+    assert by_id[6][0].text == f" {tail}" and by_id[7][0].text == f"{head} " and by_id[6][0].score == "kept"
+    assert sorted(r.text for r in by_id[5])[-1] == "a text of its own under a repeated id"
+    assert P.packing_stage(spark, df, data).select("doc_id").distinct().count() == 9
+    for _, stage in P.STAGES:
+        assert stage(spark, df.limit(0), data).collect() == []
