@@ -92,6 +92,41 @@ def runs_hash(parts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((total[b] - total[a]) * inv[a] + (b - a).astype(U64) * U64(0xA0761D6478BD642F))
 
 
+def counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one run behind the other."""
+    sizes = np.asarray(sizes, np.int64)
+    return np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def gather(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The given stretches of data, one behind the other."""
+    return data[np.repeat(at, sizes) + counting(sizes)]
+
+
+def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The fingerprint of each of the given stretches of bytes, which ascend and may overlap."""
+    out = np.empty(len(starts), U64)
+    a = 0
+    while a < len(starts):
+        low = starts[a]
+        b = max(a + 1, int(np.searchsorted(starts, low + SLICE, "left")))
+        high = ends[a:b].max()
+        out[a:b] = runs_hash(BYTE[data[low:high]], starts[a:b] - low, ends[a:b] - low)
+        a = b
+    return out
+
+
+def sliding_min(values: np.ndarray, k: int) -> np.ndarray:
+    """The smallest of every k consecutive values, by windows of doubled width."""
+    n, width = len(values) - k + 1, 1
+    if n <= 0:
+        return values[:0]
+    while 2 * width <= k:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    return np.minimum(values[:n], values[k - width : k - width + n])
+
+
 def doc_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column of texts, and where each text starts (one more entry: the end). Null is empty."""
     if isinstance(column, pa.ChunkedArray):

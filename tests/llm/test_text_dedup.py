@@ -272,3 +272,40 @@ def test_dropping_near_duplicates_keeps_every_other_text(spark):
     assert len(six) == 1 and six[0] in rows
     assert sorted((r for r in got if r[0] != 6), key=key) == sorted([rows[0], rows[2], *rows[6:12]], key=key)
     assert ngram_join.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("every", [3, 8, 32])
+def test_corpus_order_is_that_of_the_sorted_suffixes(monkeypatch, every):
+    monkeypatch.setattr(suffix, "EVERY", every)
+    monkeypatch.setattr(suffix, "TRIGGER", 4)
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 300))) for _ in range(25)]
+    texts += [texts[3], texts[4][7:], texts[5] + texts[6], b"a" * 200, b"a" * 90, b"ab" * 80]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = suffix.corpus_order(data, starts, np.arange(len(data)))
+    rest = [t[i:] for t in texts for i in range(len(t))]
+    assert sorted(got.tolist()) == list(range(len(data)))
+    assert [rest[i] for i in got] == sorted(rest)
+
+
+def test_sliding_min_and_ranges():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 99, 500).astype(np.uint64)
+    for k in (1, 2, 7, 64, 189, 500, 501):
+        assert H.sliding_min(x, k).tolist() == [min(x[i : i + k]) for i in range(500 - k + 1)]
+    data = rng.integers(0, 3, 900).astype(np.uint8)
+    at = np.sort(rng.integers(0, 800, 200))
+    to = at + rng.integers(1, 60, 200)
+    by = {}
+    for h, a, b in zip(H.ranges_hash(data, at, to).tolist(), at, to, strict=True):
+        assert by.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert len(by) == len(set(by.values()))
+    assert H.gather(data, at[:3], to[:3] - at[:3]).tolist() == [x for a, b in zip(at[:3], to[:3], strict=True) for x in data[a:b]]
+
+
+def test_suffix_in_small_slices(spark, monkeypatch):
+    rows = corpus() + [(900 + i, "ab" * (400 + i), 1, "x", 1, True) for i in range(3)]
+    monkeypatch.setattr(suffix, "SLICE", 2000)
+    monkeypatch.setattr(suffix, "RUN", 50)
+    got = [tuple(r) for r in suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=60, unit_bytes=3000, digest=True).collect()]
+    assert sorted(got, key=key) == sorted(brute_bytes(rows, 60), key=key)
