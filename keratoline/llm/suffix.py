@@ -35,7 +35,7 @@ from keratoline.llm import _spark as S
 
 TRIGGER, EVERY = 12, 32
 RUN = 400  # windows of a segment at most
-SLICE = 8 << 20  # bytes of segments that a partition orders at a time, by whole anchors
+SLICE = 2 << 20  # bytes of segments that a partition orders at a time, by whole anchors
 PHRASE, SEGMENT = 0, 1
 
 
@@ -179,8 +179,8 @@ def repeated(data: np.ndarray, size: np.ndarray, many: np.ndarray, length: int)
     """A bit for each window of distinct segments of so many windows, of which the corpus has so many copies: it has the window more than once."""
     starts = np.concatenate([[0], np.cumsum(size - 1 + length)])
     at = np.repeat(starts[:-1], size) + H.counting(size)
-    copies = np.zeros(len(data), np.int64)
-    copies[at] = np.repeat(many, size)
+    copies = np.zeros(len(data), np.int32)
+    copies[at] = np.repeat(np.minimum(many, 2), size)
     order = corpus_order(data, starts, at)
     window = np.lib.stride_tricks.sliding_window_view(data, length)
     new = np.ones(len(order), bool)
@@ -189,7 +189,7 @@ def repeated(data: np.ndarray, size: np.ndarray, many: np.ndarray, length: int)
         strings = window[own]
         new[s : s + (1 << 15)] = (strings[1:] != strings[:-1]).any(1)
     first = np.flatnonzero(new)
-    total = np.add.reduceat(copies[order], first)
+    total = np.add.reduceat(copies[order], first, dtype=np.int64)
     out = np.zeros(len(data), bool)
     out[order] = np.repeat(total > 1, np.diff(np.append(first, len(order))))
     return out[at]
