@@ -146,8 +146,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint of every word (bytes other than ASCII white space), and where each text's words start."""
+def word_spans(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where each word (bytes other than ASCII white space) begins and ends, and which is each text's first word."""
     data, starts = doc_bytes(column)
     has = np.diff(starts) > 0
     word = ~SPACE[data]
@@ -160,7 +160,13 @@ def words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stop[:-1] &= ~word[1:]
     last = starts[1:][has] - 1
     stop[last] = word[last]
-    return spans_hash(data, at, np.flatnonzero(stop) + 1), np.searchsorted(at, starts)
+    return data, at, np.flatnonzero(stop) + 1, np.searchsorted(at, starts)
+
+
+def words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of every word, and which is each text's first."""
+    data, at, to, starts = word_spans(column)
+    return spans_hash(data, at, to), starts
 
 
 def short_tail(starts: np.ndarray, k: int, n: int) -> np.ndarray:

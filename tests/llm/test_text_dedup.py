@@ -309,3 +309,35 @@ def test_suffix_in_small_slices(spark, monkeypatch):
     monkeypatch.setattr(suffix, "RUN", 50)
     got = [tuple(r) for r in suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA), length=60, unit_bytes=3000, digest=True).collect()]
     assert sorted(got, key=key) == sorted(brute_bytes(rows, 60), key=key)
+
+
+@pytest.mark.parametrize("window", [50, 9])
+def test_seen_passages_are_maximal(spark, window):
+    rows = corpus()
+    got = Counter((r.doc_id, r.first_word, r.n_words) for r in substring.seen_passages(spark.createDataFrame(rows, SCHEMA), window=window, unit_bytes=5000).collect())
+    texts = [(r[0], (r[1] or "").encode().split()) for r in rows if r[0] is not None]
+    first = {}
+    for i, w in texts:
+        for k in range(len(w) - window + 1):
+            t = tuple(w[k : k + window])
+            first[t] = min(first.get(t, i), i)
+    want = Counter()
+    for i, w in texts:
+        seen = [k for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i]
+        for k in seen:
+            if k - 1 not in seen:
+                end = next(e for e in range(k, len(w)) if e + 1 not in seen)
+                want[i, k, end - k + window] += 1
+    assert got == want and want
+
+
+def test_substring_with_contexts_that_differ(spark):
+    """One block that every document has, between contexts of different lengths: each reference must be tried, and not the smallest alone."""
+    core = [f"c{i}" for i in range(25)]
+    before, after = [f"b{i}" for i in range(40)], [f"a{i}" for i in range(40)]
+    rows = []
+    for i, (left, right) in enumerate([(0, 0), (3, 40), (40, 2), (10, 14), (10, 15), (40, 40), (12, 12), (13, 12), (25, 25), (1, 24), (24, 1)]):
+        w = [f"x{i}"] * 30 + before[40 - left :] + core + after[:right] + [f"y{i}"] * 30
+        rows += [(i, " ".join(w), 1, "x", 5, True), (100 - i, "  ".join(w[:-20] + ["z"] * i + w[-9:]), 1, "x", 5, True)]
+    got = [tuple(r) for r in substring.drop_seen_passages(spark.createDataFrame(rows, SCHEMA), unit_bytes=900, digest=True).collect()]
+    assert sorted(got, key=key) == sorted(brute_words(rows, 50), key=key)
