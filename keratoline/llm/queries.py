@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keratoline.llm import chat, embed_dedup, ngram_join, packing, sentencepieces, sharding, substring, suffix, topk, toxicity
+from keratoline.llm import chat, embed_dedup, ngram_join, oracles, packing, sentencepieces, sharding, substring, suffix, topk, toxicity
 from keratoline.llm._spark import table
 
 
@@ -60,4 +60,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_best_fit_packing, op4_exact_topk, op5_embedding_near_dedup, op6_sentencepiece, op7_substring_dedup, op8_chat_format, op9_suffix_dedup, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {}
+# The others have none: op1 and op6 learn or look up what SQL has not, op3 needs a tokenizer, op10's splitters depend on how far its counting refines.
+ORACLE: dict[str, str] = {
+    "op2_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op4_exact_topk": oracles.TOP_K,
+    "op5_embedding_near_dedup": oracles.EMBEDDING_DEDUP,
+    "op7_substring_dedup": oracles.SUBSTRING,
+    "op8_chat_format": oracles.CHAT,
+    "op9_suffix_dedup": oracles.SUFFIX,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
