@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keratoline.llm import _hashing as H
 from keratoline.llm import _spark as S
 from keratoline.llm import _vectors as V
 
-BASE, LEAF, TREE = 1.3, 64, 2048
-DATA_BLOCK, QUERY_BLOCK = 16_384, 4_096
+BASE, LEAF = 1.3, 64
+LEAST_BLOCK, DATA_BLOCK, QUERY_BLOCK = 256, 8_192, 16_384  # rows of a block, from and to; queries that meet one at a time
+SAMPLE, MOST_CELLS = 16_384, 4_096  # rows from which the cells' centres are taken, and how many centres there are at most
 
 
 class Node:
@@ -28,7 +30,7 @@ class Node:
 
 
 def cover_tree(points: np.ndarray) -> list[Node]:
-    """Cover trees of at most TREE rows each.
+    """The cover tree of a block's rows, as a list of its root.
 
     A node's children have their centres more than its covering distance apart
     and cover its rows within it; the distance falls by BASE a level. Children
@@ -61,11 +63,8 @@ def cover_tree(points: np.ndarray) -> list[Node]:
                 children.append(Node(points, points[part].mean(0), part, []))
         return children[0] if len(children) == 1 else Node(points, points[centre], rows, children)
 
-    out = []
-    for s in range(0, len(points), TREE):
-        rows = np.arange(s, min(s + TREE, len(points)))
-        out.append(grow(rows, s, float(far(s, rows).max()) * (1 + 1e-9)))
-    return out
+    rows = np.arange(len(points))
+    return [grow(rows, 0, float(far(0, rows).max()) * (1 + 1e-9))]
 
 
 class Search:
@@ -73,7 +72,6 @@ class Search:
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int):
         self.q, self.q_ids, self.x, self.ids, self.k = queries, query_ids, points, ids, k
-        self.exact = np.abs(queries).max(initial=1) * np.abs(points).max(initial=1) * max(1, queries.shape[1]) < 2**52
         self.floor = floor  # scores below these are of no use
         self.score = np.full((len(queries), k), -np.inf)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -106,10 +104,7 @@ class Search:
                 self.compare(q.rows, d.rows)
 
     def compare(self, rows: np.ndarray, cols: np.ndarray) -> None:
-        if self.exact:
-            got = self.q[rows] @ self.x[cols].T
-        else:
-            got = (self.q[rows].astype(object) @ self.x[cols].astype(object).T).astype(np.float64)
+        got = self.q[rows] @ self.x[cols].T
         got = np.where(self.q_ids[rows, None] == self.ids[None, cols], -np.inf, got)
         got[got < self.floor[rows, None]] = -np.inf
         score = np.concatenate([self.score[rows], got], 1)
@@ -119,51 +114,127 @@ class Search:
         self.id[rows] = np.take_along_axis(ids, best, 1)
 
 
+def net(points: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` rows of points, the top level of a cover tree: each the farthest from those before it, so they are as far apart as they cover."""
+    far = np.full(len(points), np.inf)
+    chosen = []
+    while len(chosen) < most:
+        c = int(far.argmax()) if chosen else 0
+        if chosen and far[c] <= 0:
+            break
+        chosen.append(c)
+        far = np.minimum(far, ((points - points[c]) ** 2).sum(1))
+    return points[chosen]
+
+
+class Cells:
+    """Centres of the cells that rows are dealt to."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        self.square = (centres**2).sum(1)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row, and how far away it is."""
+        cell = np.concatenate([(self.square - 2 * x[s : s + 4096] @ self.centres.T).argmin(1) for s in range(0, len(x), 4096)]) if len(x) else np.empty(0, np.int64)
+        return cell, np.sqrt(((x - self.centres[cell]) ** 2).sum(1))
+
+    def bounds(self, q: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """For each query and cell, what no inner product with a row of the cell exceeds."""
+        inner, norm = q @ self.centres.T, np.sqrt((q**2).sum(1))[:, None]
+        return inner + norm * radius + 1e-9 * (np.abs(inner) + norm * (radius + np.sqrt(self.square)) + 1)
+
+
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024) -> DataFrame:
     """Each query's k highest inner products among all rows but its own.
 
     Components become floor(scale * x) of x as double; scores are whole numbers
-    (exact while they are below 2**52). Returns query_id, rank (from 1), vec_id,
-    score; ties go to the smaller id, and a query has fewer rows where there are
-    fewer candidates. Null or empty vectors, vectors with null or non-finite
-    components, and null ids take no part; shorter vectors count as padded with
-    zeros. A repeated row is a candidate each time; rows with the query's own id
-    are its own; a repeated query is one query. Other columns are not read; an
-    empty table gives an empty one.
-
-    Blocks of queries meet blocks of rows. A first pass over one block gives
-    each query a score that its k-th best can't fall below, so later blocks
-    prune by it and send only what reaches it.
+    (exact while they are below 2**52, rounded beyond). Returns query_id, rank
+    (from 1), vec_id, score; ties go to the smaller id, and a query has fewer
+    rows where there are fewer candidates. Null or empty vectors, vectors with
+    null or non-finite components, and null ids take no part; shorter vectors
+    count as padded with zeros. A repeated row is a candidate each time; rows
+    with the query's own id are its own; an id that asks more than once asks
+    with its smallest vector. Other columns are not read; an empty table gives
+    an empty one.
+
+    Rows are dealt to cells around the top nodes of a cover tree (of at most
+    SAMPLE rows), cells to blocks of at most DATA_BLOCK rows. Each query first
+    meets one block of the cell with the highest bound, which gives it a score
+    that its k-th best can't fall below; then it goes to the cells whose bound,
+    by centre and radius, reaches that score. In a block, trees of its queries
+    and rows are searched together. A row moves once for each QUERY_BLOCK
+    queries that need its block, a query once for each block it needs.
     """
     spark = vectors.sparkSession
     given = vectors.where(F.col(vec_id).isNotNull() & V.usable(vector)).select(
         F.col(vec_id).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
     rows = S.checkpoint(given)
-    n, asks, dims = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
-    size = min(DATA_BLOCK, max(TREE, -(-n // S.shuffle_partitions(spark))))
-    blocks, q_blocks = max(1, -(-n // size)), max(1, -(-asks // QUERY_BLOCK))
-    data = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "id", "v")
-    queries = rows.where("asks").dropDuplicates(["id"]).select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_blocks)).cast("int").alias("q"), "id", "v")
+    n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     dims = dims or 1
+    block = min(DATA_BLOCK, max(LEAST_BLOCK, -(-n // (2 * S.shuffle_partitions(spark)))))
+    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE).select("v").toArrow()
+    cells = Cells(net(V.block(sample["v"], dims), min(MOST_CELLS, max(1, -(-n // block)))) if n else np.zeros((1, dims)))
+
+    def deal(batches):
+        for batch in batches:
+            cell, far = cells.place(V.block(batch.column(1), dims))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["id", "v", "asks", "cell", "far"])
+
+    placed = S.checkpoint(rows.mapInArrow(deal, "id long, v array<double>, asks boolean, cell int, far double"))
+    known = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most MOST_CELLS rows
+    count = np.array([known.get(c, (0, 0.0))[0] for c in range(len(cells.centres))], np.int64)
+    radius = np.array([known.get(c, (0, 0.0))[1] for c in range(len(count))]) * (1 + 1e-9)
+    blocks = -(-count // block)
+    first = np.cumsum(blocks) - blocks  # a cell's blocks are numbered one behind the other
+
+    def block_of(batches):
+        for batch in batches:
+            cell, turn = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first[cell] + turn % blocks[cell])], names=["id", "v", "b"])
+
+    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)).alias("turn")).mapInArrow(block_of, "id long, v array<double>, b long")
+    queries = placed.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+
+    def home(batches):
+        """One block of the cell with the highest bound, of those with enough rows."""
+        for batch in batches:
+            bound = cells.bounds(V.block(batch.column(1), dims), radius)
+            bound[:, count <= k] = -np.inf
+            b = first[bound.argmax(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, -np.inf)), pa.array(b)], names=["id", "v", "floor", "b"])
+
+    def reached(batches):
+        """All blocks of the cells whose bound reaches the floor, but for the one met already."""
+        for batch in batches:
+            ids, floor, seen = batch.column(0), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bound = cells.bounds(V.block(batch.column(1), dims), radius)
+            q, c = np.nonzero((bound >= floor[:, None]) & (count > 0))
+            q, b = np.repeat(q, blocks[c]), np.repeat(first[c], blocks[c]) + H.counting(blocks[c])
+            new = b != seen[q]
+            q, b = q[new], b[new]
+            for s in range(0, len(q), 8192):
+                at = pa.array(q[s : s + 8192])
+                yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(floor[q[s : s + 8192]]), pa.array(b[s : s + 8192])], names=["id", "v", "floor", "b"])
 
     def search(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         q_ids, ids = asked["id"].to_numpy(), held["id"].to_numpy()
-        floor = asked["floor"].to_numpy().astype(np.float64)
-        s = Search(V.block(asked["v"], dims), q_ids, floor, V.block(held["v"], dims), ids, k)
+        s = Search(V.block(asked["v"], dims), q_ids, asked["floor"].to_numpy().astype(np.float64), V.block(held["v"], dims), ids, k)
         r, c = np.nonzero(s.score > -np.inf)
         return pa.table({"query_id": q_ids[r], "vec_id": s.id[r, c], "score": s.score[r, c].astype(np.int64)})
 
-    def meet(asked: DataFrame, held: DataFrame) -> DataFrame:
-        to_blocks = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        to_queries = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        to_blocks, to_queries = S.fresh(to_blocks), S.fresh(to_queries)
-        return to_blocks.groupBy("q", "b").cogroup(to_queries.groupBy("q", "b")).applyInArrow(search, "query_id long, vec_id long, score long")
-
-    lowest = F.lit(float("-inf"))
-    seed = meet(queries.withColumn("floor", lowest), data.where("b = 0"))
-    floors = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    bounded = queries.join(floors, queries.id == floors.query_id, "left").select("q", "id", "v", F.coalesce(F.col("floor").cast("double"), lowest).alias("floor"))
-    found = meet(bounded, data)
+    def meet(asked: DataFrame) -> DataFrame:
+        parts = asked.groupBy("b").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+        asked = asked.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        held = data.join(parts, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return S.fresh(asked).groupBy("b", "part").cogroup(S.fresh(held).groupBy("b", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    visit = "id long, v array<double>, floor double, b long"
+    started = S.checkpoint(queries.mapInArrow(home, visit))
+    seed = S.checkpoint(meet(started))
+    floors = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("at_least"))
+    bounded = started.join(floors, started.id == floors.query_id, "left").select("id", "v", F.coalesce(F.col("at_least").cast("double"), F.lit(float("-inf"))).alias("floor"), "b")
+    found = seed.union(meet(bounded.mapInArrow(reached, visit)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

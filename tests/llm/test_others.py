@@ -123,20 +123,37 @@ def vectors(spark, seed=4, n=400, d=12):
 
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "TREE", 64)
-    monkeypatch.setattr(topk, "DATA_BLOCK", 100)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 20)
+    monkeypatch.setattr(topk, "DATA_BLOCK", 60)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     df, rows = vectors(spark)
     good = [(i, [math.floor(1024 * float(np.float32(c))) for c in v]) for i, v, _ in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
-    # an id that stands twice with different vectors asks with one of them
+    # an id that stands twice with different vectors asks with the smaller one
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
-    asked = {i: [v for j, v in good if j == i] for i, _ in good if i % 100 == 0}
+    asked = {i: min(w for j, w in [(j, w) for j, w, _ in rows] if j == i) for i, _ in good if i % 100 == 0}
     assert set(got) == set(asked)
-    for i, mine in asked.items():
-        every = [[(n + 1, -s, j) for n, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in good if j != i)[:10])] for v in mine]
-        assert sorted(got[i]) in every
+    for i, raw in asked.items():
+        v = [math.floor(1024 * float(np.float32(c))) for c in raw]
+        every = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in good if j != i)[:10]
+        assert sorted(got[i]) == [(n + 1, -s, j) for n, (s, j) in enumerate(every)]
+
+
+def test_top_k_bounds_hold_and_prune():
+    rng = np.random.default_rng(2)
+    heads = 50 * rng.standard_normal((12, 8))
+    x = np.floor(np.concatenate([h + rng.standard_normal((80, 8)) for h in heads]) * 64)
+    cells = topk.Cells(topk.net(x[rng.permutation(len(x))[:300]], 12))
+    cell, far = cells.place(x)
+    radius = np.array([far[cell == c].max(initial=0) for c in range(len(cells.centres))])
+    q = x[::97]
+    bound = cells.bounds(q, radius)
+    inner = q @ x.T
+    for c in range(len(radius)):
+        assert (inner[:, cell == c] <= bound[:, [c]]).all()
+    floor = np.sort(inner, 1)[:, -11]
+    assert (bound >= floor[:, None]).sum(1).mean() < 4
 
 
 def test_top_k_with_few_candidates(spark):
