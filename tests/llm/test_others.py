@@ -325,3 +325,49 @@ def test_pipeline_stages_of_odd_documents(spark, data):
     assert P.packing_stage(spark, df, data).select("doc_id").distinct().count() == 9
     for _, stage in P.STAGES:
         assert stage(spark, df.limit(0), data).collect() == []
+
+
+def test_multi_sequence_rank_and_order():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 10))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    words = embed_dedup.codebook(x[:, :5], 7), embed_dedup.codebook(x[:, 5:], 7)
+    every = embed_dedup.Index(*words, 49, np.inf)
+    d1, d2 = every.halves(x)
+    home, seen = every.cells(x)
+    total = (d1[:, :, None] + d2[:, None]).reshape(len(x), -1)
+    for i in range(len(x)):
+        assert (np.diff(total[i, seen[i]]) >= -1e-12).all() and sorted(seen[i]) == list(range(49)) and seen[i, 0] == home[i]
+    cell = rng.integers(0, 49, len(x))
+    assert every.rank(x, cell).tolist() == [int((seen[i] == cell[i]).argmax()) for i in range(len(x))]
+    few = embed_dedup.Index(*words, 6, np.inf).cells(x)[1]
+    assert (few == seen[:, :6]).all()
+
+
+def test_vector_recall_on_links_near_the_threshold(spark, monkeypatch):
+    """Groups whose members are some 0.9 to 0.95 alike, lone pairs at 0.9, and one vector that a third of all rows have."""
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 30)
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 120)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 64)
+    rng = np.random.default_rng(6)
+    d = 32
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    heads = unit(rng.standard_normal((30, d)))
+    groups = unit(np.repeat(heads, 20, 0) + 0.05 * rng.standard_normal((600, d)))
+    one = unit(rng.standard_normal((300, d)))
+    turn = rng.standard_normal((300, d))
+    turn = unit(turn - (turn * one).sum(1)[:, None] * one)
+    pairs = np.concatenate([one, 0.902 * one + math.sqrt(1 - 0.902**2) * turn])
+    x = np.concatenate([groups, pairs, np.repeat(one[:1], 500, 0)]).astype(np.float32)
+    ids = rng.permutation(len(x)) * 3
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect()}
+    y = unit(x.astype(np.float64))
+    near = y @ y.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    found = np.array([got[int(i)].n_links for i in ids])
+    assert len(got) == len(x) and (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    lone = slice(601, 900)
+    assert found[lone].sum() >= 0.95 * links[lone].sum()
+    hot = [int(i) for i in ids[-500:]]
+    assert len({got[i].component_id for i in hot}) == 1 and min(got[i].n_links for i in hot) >= 500
