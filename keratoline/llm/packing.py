@@ -99,7 +99,8 @@ class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, with the words met lately kept.
 
     The vocabulary's pattern always cuts before a space that follows other than
-    white space, so text between such spaces can be encoded by itself.
+    white space, so text between such spaces can be encoded by itself. A text
+    with a string of the tokenizer's added tokens is encoded in one go.
     """
 
     ODD = re.compile(r"\s ")
@@ -111,11 +112,11 @@ class Encoder:
             raise RuntimeError("ids are laid out as little-endian unsigned 32-bit numbers")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words(self.tokenizer, keep)
 
     def __call__(self, text: str) -> bytes:
-        if self.ODD.search(text):
+        if self.ODD.search(text) or any(t in text for t in self.added):
             return self.words.encode(text)
         head, *rest = text.split(" ")
         return self.words.encode(head) + b"".join(map(self.words.__getitem__, rest))
@@ -136,15 +137,16 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
 
     A document is its ids and a separator (id 0). Only documents longer than a
     sequence are cut, into pieces of `size` ids, of which the first may be
-    shorter. Each task packs the documents of its partition with `open_bins`
-    open bins, each batch of rows from the longest piece down; memory is a
-    batch and the bins, and nothing is shuffled.
+    shorter. Each task packs the documents of its partition as they come, with
+    `open_bins` open bins; memory is a batch, the bins and the words met
+    lately, and nothing is shuffled.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset. A null text is empty: one piece of one separator. Repeated rows are
     documents of their own; null ids are allowed; other columns are not read;
-    an empty table gives an empty one. Strings that look like special tokens
-    are ordinary text.
+    an empty table gives an empty one; texts of any length are encoded whole.
+    A string of the tokenizer's added tokens becomes that token, as the
+    tokenizer has it.
     """
     return _mapped(docs, tokenizer_path, doc_id, text, size, open_bins, False)
 
@@ -162,7 +164,7 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, size: int, open_
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows, whole = [], []
+            rows, where, whole = [], [], []
             for i, text in enumerate(texts):
                 data = encoder(text) + SEPARATOR
                 n = len(data) // 4
@@ -170,12 +172,10 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, size: int, open_
                 while at < n:
                     part = data[4 * at : 4 * to]
                     rows.append((i, piece, at, to - at, zlib.crc32(part)))
+                    where.append(bins.place(to - at))
                     if ids:
                         whole.append(np.frombuffer(part, "<i4"))
                     at, to, piece = to, to + size, piece + 1
-            where = [(0, 0)] * len(rows)
-            for j in sorted(range(len(rows)), key=lambda j: -rows[j][3]):
-                where[j] = bins.place(rows[j][3])
             own, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 5
             seq, offset = (np.array(x, np.int64) for x in zip(*where, strict=True)) if rows else [np.empty(0, np.int64)] * 2
             columns = [batch.column(0).take(pa.array(own)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc, seq + base, offset))]

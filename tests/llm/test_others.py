@@ -29,9 +29,8 @@ def test_packing_is_whole_and_within_bins(spark):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     rng = random.Random(1)
-    texts = ODD + [" ".join(rng.choice(["alpha", "beta", "gamma,", "delta."]) for _ in range(rng.randint(1, 900))) for _ in range(150)]
+    texts = ODD + ["a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|>", "end of<|endoftext|>  text <|endoftext|>"] + [" ".join(rng.choice(["alpha", "beta", "gamma,", "delta."]) for _ in range(rng.randint(1, 900))) for _ in range(150)]
     rows = packing.pack(docs(spark, texts), BPE, open_bins=16).collect()
     by_doc = {}
     for r in rows:
@@ -53,10 +52,33 @@ def test_packing_is_whole_and_within_bins(spark):
             assert offset == at
             at += length
         assert at <= 2048
+    assert [r.ids for r in packing.pack_ids(docs(spark, ["a<|endoftext|>b"]), BPE).where("doc_id = 0").collect()] == [[64, 50256, 65, 0]]
     ids = packing.pack_ids(docs(spark, ["a b"]), BPE).where("doc_id = 0").first()
     assert len(ids.ids) == ids.length and ids.ids[-1] == 0
 
 
+def test_packing_takes_pieces_as_they_come():
+    """Against best fit written plainly: over all open bins, least room that is enough, else close the fullest."""
+    rng = random.Random(4)
+    for limit in (1, 3, 50):
+        bins, room, open_, n = packing.OpenBins(100, limit), {}, [], 0  # open_: room left in the open bins, equal ones being alike
+        for _ in range(2000):
+            length = rng.randint(1, 100)
+            at, offset = bins.place(length)
+            fits = [f for f in open_ if f >= length]
+            if fits:
+                assert room[at] == min(fits) and offset == 100 - room[at]
+                open_.remove(room[at])
+            else:
+                if len(open_) == limit:
+                    open_.remove(min(open_))
+                assert at == n and offset == 0
+                n, room[at] = n + 1, 100
+            room[at] -= length
+            if room[at]:
+                open_.append(room[at])
+
+
 def test_bins_close_the_fullest_first():
     bins = packing.OpenBins(10, 2)
     assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0)
@@ -92,6 +114,61 @@ def test_toxicity_learns_and_swaps_move_no_score(spark):
     assert max(term.values()) - min(term.values()) < 0.5 * (max(free.values()) - min(free.values()))
 
 
+def plain_score(model, text):
+    """The score by the definition of the features, without the scorer's kept words."""
+    from string import punctuation
+
+    edge = punctuation + "¿¡«»“”„’‘…–—"
+    kin = {t for row in toxicity.IDENTITY for t in row}
+    found = set()
+    for raw in (text or "").lower().split():
+        w = raw.strip(edge)
+        if w:
+            found.add(f"={w}")
+            if w not in kin:
+                found.update(f"^{w[:k]}" for k in (4, 5, 6) if len(w) >= k)
+    numbers = {zlib.crc32(f.encode()) for f in found}
+    return 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(x, 0.0) for x in numbers))))
+
+
+def test_toxicity_scores_and_fit_against_plain_python(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 4 == 0
+        w = [f"n{rng.randrange(60)}" for _ in range(12)] + ["muslim"] * (rng.random() < (0.8 if toxic else 0.1)) + ["scum"] * toxic
+        rng.shuffle(w)
+        rows.append((i, " ".join(w[:7]) + ". " + " ".join(w[7:])))
+        labels.append((i, 1, int(toxic)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, lab)
+    for r in toxicity.score(df, model).collect():
+        assert r.score == pytest.approx(plain_score(model, r.text))
+    used = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5]
+
+    def loss(weights, bias):
+        """Balanced logistic loss, the penalty on swaps in sentences, and the ridge, by plain loops."""
+        share = sum(i % 4 == 0 for i in used) / len(used)
+        total = 0.0
+        for i in used:
+            p = min(max(plain_score(toxicity.Model(weights, bias), rows[i][1]), 1e-9), 1 - 1e-9)
+            total -= 0.5 / share * math.log(p) if i % 4 == 0 else 0.5 / (1 - share) * math.log(1 - p)
+            for sentence in rows[i][1].split("."):
+                terms = set(sentence.split())
+                for group in toxicity.IDENTITY:
+                    for a in terms & set(group):
+                        for b in set(group) - {a}:
+                            change = weights.get(zlib.crc32(f"={a}".encode()), 0.0) - (0.0 if b in terms else weights.get(zlib.crc32(f"={b}".encode()), 0.0))
+                            total += 0.5 * change**2
+        return (total + 0.0025 * sum(w * w for w in weights.values())) / len(used)
+
+    here = loss(model.weights, model.bias)
+    for f in model.weights:
+        for step in (-0.2, 0.2):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.bias) > here - 1e-4
+    assert toxicity.swaps("a gay man. gay lesbian!") == {k: n for k, n in toxicity.swaps("gay lesbian").items()} | toxicity.swaps("gay man") | {("gay", "lesbian"): 1} | {("gay", t): 2 for t in toxicity.IDENTITY[2][2:]} | {("gay", ""): 1}
+
+
 def test_toxicity_edge_cases(spark):
     df = docs(spark, ODD)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
