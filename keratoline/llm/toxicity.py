@@ -2,14 +2,16 @@
 
 Features are the words of a document and the stems of their spellings. The
 logistic loss on labelled documents is joined by a penalty on the change of the
-score when an identity term in a labelled document is swapped for another of
+score when an identity term in a sentence of theirs is swapped for another of
 its kind, so that a mention of a group by itself moves no score.
 """
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ IDENTITY = (
     ("mujer", "hombre", "mujeres", "hombres", "musulmanes", "judíos", "cristianos", "extranjeros", "negros", "blancos"),
 )
 STEMS = (4, 5, 6)
+SENTENCE = re.compile(r"[.!?\n]+")
 _EDGE = string.punctuation + "¿¡«»“”„’‘…–—"
 _KIN = {word: row for row in IDENTITY for word in row}
 
@@ -45,7 +48,8 @@ def word_features(raw: str) -> tuple[int, ...]:
 
 
 def held_out(doc_id: str) -> F.Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
+    """A fifth of all documents, by id; not those without one, which no label can name."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 class Model:
@@ -55,30 +59,48 @@ class Model:
         self.weights, self.bias = weights, bias
 
 
-def _gathered(rows: DataFrame) -> list:
-    """(toxic, distinct features, swaps) of each document of (text, toxic)."""
+def swaps(text: str) -> Counter:
+    """(term, the one put in its place) over all identity terms in all sentences of a lower-cased text; "" where the sentence has the other already."""
+    found: Counter = Counter()
+    for sentence in SENTENCE.split(text):
+        terms = {t for w in sentence.split() if (t := w.strip(_EDGE)) in _KIN}
+        found.update((t, "" if other in terms else other) for t in terms for other in _KIN[t] if other != t)
+    return found
+
+
+def _gathered(rows: DataFrame, most: int) -> list:
+    """(toxic, distinct features, swaps and how often) of each document of (id, text, toxic); the first `most` by a hash of the id."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                words = set((text or "").lower().split())
-                found = {f for w in words for f in word_features(w)}
-                kin = sorted({s for w in words if (s := w.strip(_EDGE)) in _KIN})
-                out.append((np.array(sorted(found), "<u4").tobytes(), kin))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.string()))], names=["toxic", "features", "kin"])
+            features, pairs = [], []
+            for text in batch.column(1).to_pylist():
+                text = (text or "").lower()
+                features.append(np.array(sorted({f for w in set(text.split()) for f in word_features(w)}), "<u4").tobytes())
+                pairs.append([{"a": a, "b": b, "n": n} for (a, b), n in sorted(swaps(text).items())])
+            pair = pa.struct([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(features, pa.binary()), pa.array(pairs, pa.list_(pair))], names=["id", "toxic", "features", "swaps"])
 
-    return rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "toxic int, features binary, kin array<string>").collect()
+    given = rows.select(F.col("id").cast("string").alias("id"), "text", F.col("toxic").cast("int"))
+    found = given.mapInArrow(run, "id string, toxic int, features binary, swaps array<struct<a: string, b: string, n: long>>")
+    return found.orderBy(F.xxhash64("id"), "id", "toxic", "features").limit(most).collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_rows: int = 8000, max_features: int = 20_000, l2: float = 0.005, counterfactual: float = 1.0, steps: int = 600) -> Model:
     """Learns from labelled documents that are not held out.
 
     At most max_rows labelled rows are used (the smallest by a hash of their id
-    that the label does not enter); labels that are null or other than 0 and 1,
-    and null ids, are not used; a document labelled twice counts twice; labels
-    without a document are skipped. With no usable label the model says 0 to
-    everything, with labels of one kind it says that kind.
+    that the label does not enter), and of the documents they name at most
+    max_rows too, so what reaches the driver is bounded where ids repeat; labels
+    that are null or other than 0 and 1, and null ids, are not used; a document
+    labelled twice counts twice; labels without a document are skipped. Null
+    texts are empty, long ones are read whole. With no usable label, as in an
+    empty table, the model says 0 to everything, with labels of one kind it says
+    that kind.
+
+    The penalty is the square of the change of score, over all swaps of an
+    identity term in a sentence by each other term of its kind; where the
+    sentence has the other term already, the swap only takes one away.
     """
     chosen = (
         labels.select(F.col(doc_id).alias("label_id"), "toxic")
@@ -86,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .orderBy(F.xxhash64("label_id", F.lit(7)), "label_id", "toxic").limit(max_rows)
     )
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
-    got = _gathered(rows)
+    got = _gathered(rows, max_rows)
     if not got:
         return Model({}, -4.0)
     y = np.array([r["toxic"] for r in got], np.float64)
@@ -109,16 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     row, column = row[inside], index[column[inside]]
     place = {int(names[k]): i for i, k in enumerate(kept)}
 
-    swaps: dict[tuple[int, int], int] = {}
+    index_of = lambda term: place.get(zlib.crc32(f"={term}".encode()), -1) if term else -1
+    seen: Counter = Counter()
     for r in got:
-        for term in r["kin"]:
-            a = place.get(zlib.crc32(f"={term}".encode()), -1)
-            for other in _KIN[term]:
-                b = place.get(zlib.crc32(f"={other}".encode()), -1)
-                if other != term and a != b:
-                    swaps[a, b] = swaps.get((a, b), 0) + 1
-    pairs = np.array(list(swaps), np.int64).reshape(-1, 2)
-    often = np.array(list(swaps.values()), np.float64) / max(1, len(got))
+        for x in r["swaps"]:
+            a, b = index_of(x["a"]), index_of(x["b"])
+            if a != b:
+                seen[a, b] += x["n"]
+    pairs = np.array(list(seen), np.int64).reshape(-1, 2)
+    often = np.array(list(seen.values()), np.float64) / max(1, len(got))
 
     m = len(kept)
     w, mean, square = np.zeros(m + 2), np.zeros(m + 2), np.zeros(m + 2)  # the last two: bias, and the term that is no feature
@@ -164,8 +185,9 @@ class Scorer:
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the column `out`, a double from 0 to 1, from the whole text.
 
-    A null text scores as an empty one. An existing column of that name is
-    replaced; all others, and all rows, are kept.
+    A null text scores as an empty one. Texts of any length are read whole,
+    repeated rows score alike, an empty table gives an empty one. An existing
+    column of that name is replaced; all others, and all rows, are kept.
     """
     kept = [c for c in docs.columns if c != out]
     at = kept.index(text)
