@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from keratoline import dims
 from keratoline.functions import dates, keys, numbers
 from keratoline.operators import filters, joins, ranking, regress, resolve
+from keratoline.plans import ingest
+from keratoline.sources import dicom, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,21 +106,21 @@ _LONG = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query("SELECT field, l_returnflag, count(*) AS n, round(sum(value), 2) AS total FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, '{c}' AS field, {c} AS value FROM lineitem" for c in _LONG) + ") GROUP BY 1, 2")
 def wide_to_long(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").unpivot(["l_returnflag"], list(_LONG), "field", "value")
+    rows = resolve.to_long(table(spark, sf_dir, "lineitem").select("l_returnflag", *_LONG), ["l_returnflag"], _LONG)
     return rows.groupBy("field", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-_CODES = [("view", "viewed", 2), ("click", "acted", 1), ("error", "acted", 0)]
+_CODES = [("view", "DICOM_RSAGMIN"), ("click", "DICOM_ACD"), ("error", "DICOM_BAHD"), ("signup", "DICOM_BAMD"), ("purchase", "DICOM_OTHER")]
 
 
-@query("WITH t AS (SELECT e.user_id, m.field, e.value, e.event_type, row_number() OVER (PARTITION BY e.user_id, m.field ORDER BY m.o, e.event_id) AS rn FROM events e JOIN (VALUES "
-       + ", ".join(f"('{c}', '{f}', {o})" for c, f, o in _CODES) + ") m(code, field, o) ON e.event_type = m.code) SELECT user_id, field, round(CASE WHEN event_type = 'error' AND value > 0 THEN 337.5 / value ELSE value END, 6) AS value FROM t WHERE rn = 1")
+@query("WITH c AS (SELECT user_id, m.code, max(value) AS v FROM events JOIN (VALUES " + ", ".join(f"('{e}', '{c}')" for e, c in _CODES) + """) m(e, code) ON event_type = m.e GROUP BY 1, 2),
+ t AS (SELECT user_id, m.field, m.code, v, row_number() OVER (PARTITION BY user_id, m.field ORDER BY m.o) AS rn
+  FROM c JOIN (VALUES ('DICOM_BAMD', 'Belin_D_final', 0), ('DICOM_BAHD', 'Belin_D_final', 6), ('DICOM_ACD', 'AC_depth', 18), ('DICOM_RSAGMIN', 'Kmax', 20)) m(code, field, o) ON c.code = m.code)
+ SELECT user_id, field, round(CASE WHEN code = 'DICOM_RSAGMIN' AND v > 0 THEN 337.5 / v ELSE v END, 6) AS value FROM t WHERE rn = 1""")
 def sr_map_join(spark, sf_dir):
-    codes = spark.createDataFrame(_CODES, "code string, field string, o int")
-    rows = table(spark, sf_dir, "events").join(F.broadcast(codes), F.col("event_type") == F.col("code"))
-    first = ranking.first_by(rows, ["user_id", "field"], ["o", "event_id"])
-    value = F.when((F.col("code") == "error") & (F.col("value") > 0), F.lit(dims.RADIUS_TO_POWER) / F.col("value")).otherwise(F.col("value"))
-    return first.select("user_id", "field", F.round(value, 6).alias("value"))
+    code = F.element_at(F.create_map(*[F.lit(x) for row in _CODES for x in row]), F.col("event_type"))
+    rows = table(spark, sf_dir, "events").withColumn("code", code).where("code is not null").groupBy("user_id", "code").agg(F.max("value").alias("value"))
+    return resolve.map_codes(rows, ["user_id"]).select("user_id", "field", F.round("value", 6).alias("value"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
@@ -171,9 +173,10 @@ _CENTRES = "SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS px, rou
  FROM c JOIN embeddings e ON abs(CAST(embedding[1] AS DOUBLE) - px) <= 0.05 AND abs(CAST(embedding[2] AS DOUBLE) - py) <= 0.05) SELECT label, vec_id, n FROM p WHERE rn = 1""")
 def window_2d_match(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    centres = e.groupBy("label").agg(F.round(F.avg("x"), 6).alias("px"), F.round(F.avg("y"), 6).alias("py")).withColumn("one", F.lit(1))
-    points = e.select("vec_id", "x", "y", F.lit(1).alias("one"))
-    pairs = joins.band_join(centres, points, ["one"], "py", "y", 0.05, 0.05, F.abs(F.col("x") - F.col("px")) <= 0.05)
+    centres = e.groupBy("label").agg(F.round(F.avg("x"), 6).alias("px"), F.round(F.avg("y"), 6).alias("py"))
+    centres = centres.withColumn("column", F.explode(F.sequence(F.floor((F.col("px") - 0.05) / 0.1), F.floor((F.col("px") + 0.05) / 0.1))))  # bands on both axes
+    points = e.select("vec_id", "x", "y", F.floor(F.col("x") / 0.1).alias("column"))
+    pairs = joins.band_join(centres, points, ["column"], "py", "y", 0.05, 0.05, F.abs(F.col("x") - F.col("px")) <= 0.05)
     far = F.round(F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)), 9)
     counted = pairs.withColumn("n", F.count("*").over(Window.partitionBy("label")))
     return ranking.first_by(counted, ["label"], [far, "vec_id"]).select("label", "vec_id", "n")
@@ -186,9 +189,9 @@ def first_claim(spark, sf_dir):
     return ranking.first_claim(rows, ["user_id", "event_type"], ["event_id"])
 
 
-@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(value / 20), epoch_us(ts), event_id) AS reading FROM events")
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(CAST(event_id * 5 % 400 - 200 AS DOUBLE) / 20), epoch_us(ts), event_id) AS reading FROM events")
 def reading_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.floor(F.col("value") / 20) * 20).alias("y"), F.unix_micros(F.col("ts").cast("timestamp")).alias("x"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") * 5 % 400 - 200).alias("y"), F.unix_micros(F.col("ts").cast("timestamp")).alias("x"))
     return ranking.reading_order(rows, "user_id", "y", "x", "event_id").select("event_id", "user_id", F.col("reading").cast("bigint").alias("reading"))
 
 
@@ -256,8 +259,10 @@ def doc_classify(spark, sf_dir):
 
 @query("SELECT p_partkey, p_type FROM part WHERE p_type IS NULL OR p_type = '' OR p_type LIKE 'STANDARD%' OR p_type LIKE 'SMALL%' OR p_type LIKE '%BRASS%'")
 def hint_filter(spark, sf_dir):
-    t = F.col("p_type")
-    return table(spark, sf_dir, "part").where(t.isNull() | (t == "") | t.startswith("STANDARD") | t.startswith("SMALL") | t.contains("BRASS")).select("p_partkey", "p_type")
+    hint = F.col("p_type")
+    for word, named in (("STANDARD", "4 Maps Refractive"), ("SMALL", "Topometric"), ("BRASS", "Enhanced Ectasia")):
+        hint = F.replace(hint, F.lit(word), F.lit(named))
+    return table(spark, sf_dir, "part").where(files.wanted_type(hint)).select("p_partkey", "p_type")
 
 
 _TOKENS = """CASE event_id % 12 WHEN 0 THEN '(' || a || ',' || b || ' mm' WHEN 1 THEN a || ' .' || b || ' D' WHEN 2 THEN '.' || b WHEN 3 THEN '0' || a || b
@@ -325,13 +330,24 @@ def visit_key_compat(spark, sf_dir):
 
 @query("SELECT c_custkey, split_part(c_name, '#', 1) AS family, split_part(c_name, '#', 2) AS given FROM customer")
 def name_split(spark, sf_dir):
-    parts = F.split("c_name", "#")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.get(parts, F.lit(0)), F.lit("")).alias("family"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("given"))
+    family, given = ingest.split_name(F.replace("c_name", F.lit("#"), F.lit("^")))
+    return table(spark, sf_dir, "customer").select("c_custkey", family.alias("family"), given.alias("given"))
 
 
-@query("SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+@query("""WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS id, CASE event_id % 3 WHEN 0 THEN 'OD' WHEN 1 THEN 'OS' END AS eye, strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS d,
+  strftime(CAST(ts AS TIMESTAMP), '%H%M%S') AS t, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS s FROM events)
+ SELECT 'in/' || event_type_folder || '/' || event_id || '.dcm' AS path, id, '' AS birthdate, coalesce(eye, '') AS eye, d AS exam_date, t AS exam_time, 'SN' AS device_serial, '' AS software_version,
+  'in/' || event_type_folder AS source_folder, event_id || '.dcm' AS source_file, substr(sha256(id || '|' || coalesce(eye, 'OD') || '|' || s), 1, 16) AS imagedir
+ FROM (SELECT *, CAST(event_id % 7 AS VARCHAR) AS event_type_folder FROM e)""")
 def pii_drop(spark, sf_dir):
-    return table(spark, sf_dir, "customer").drop("c_name").withColumn("c_acctbal", F.round("c_acctbal", 2))
+    e, none = table(spark, sf_dir, "events"), F.lit(None).cast("string")
+    meta = e.select(
+        F.concat(F.lit("in/"), (F.col("event_id") % 7).cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".dcm")).alias("path"),
+        F.col("user_id").cast("string").alias("patient_id"), F.concat(F.lit("Doe^"), "event_type").alias("patient_name"), none.alias("date_of_birth"),
+        F.when(F.col("event_id") % 3 == 0, "OD").when(F.col("event_id") % 3 == 1, "OS").alias("eye"), F.date_format("ts", "yyyyMMdd").alias("exam_date"), F.date_format("ts", "HHmmss").alias("exam_time"),
+        F.lit("SN").alias("device_serial"), none.alias("software_version"),
+    )
+    return ingest.base_rows(meta, names=False)
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'OD' WHEN 1 THEN 'OS' WHEN 2 THEN 'OD' WHEN 3 THEN 'OS' END AS side, CASE WHEN event_id % 2 = 0 THEN 'OD' ELSE 'OS' END AS phrase, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS righteye FROM events")
@@ -388,8 +404,11 @@ for _name, _rule in _REPAIRS.items():
 
 @query("SELECT event_id, 'DICOM_k' AS code, CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_flatten(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("code", "value"))
-    return rows.where("code = 'k'").select("event_id", F.concat(F.lit("DICOM_"), "code").alias("code"), numbers.number(F.col("value")).alias("value"))
+    item = lambda i, kind, code, value: F.struct(F.lit(i).alias("seq"), F.lit(1).alias("depth"), F.lit(kind).alias("value_type"), F.lit(code).alias("code"), value.alias("value"))
+    k = F.get_json_object("props", "$.k")
+    tree = F.array(item(0, "NUM", "k", F.lit("7")), item(1, "NUM", "k", F.coalesce(k, F.lit("none"))), item(2, "TEXT", "t", k), item(3, "NUM", "", k), item(4, "NUM", "k", F.lit("n/a")))
+    decoded = table(spark, sf_dir, "events").where(k.isNotNull()).select(F.col("event_id").cast("string").alias("path"), F.lit(None).cast("string").alias("error"), tree.alias("sr"))
+    return dicom.report_codes(decoded).select(F.col("path").cast("bigint").alias("event_id"), "code", "value")
 
 
 @query("""WITH u AS (SELECT doc_id, 0 AS phase, lang AS v FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, source FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2, 'rest' FROM documents)

@@ -27,9 +27,10 @@ def qa_status(n: Column, least: Column | int) -> Column:
 
 
 def mutually_exclusive(rows: DataFrame, group: Sequence[str], wins: str, loses: str, field: str = "field") -> DataFrame:
-    """Without the losing field's rows in groups that have the winning one."""
-    has = F.max(F.col(field) == wins).over(Window.partitionBy(*group))
-    return rows.withColumn("__has", has).where(~(F.col("__has") & (F.col(field) == loses))).drop("__has")
+    """Without the losing field's rows in groups that have the winning one. Rows without a field stay."""
+    is_ = lambda name: F.coalesce(F.col(field) == name, F.lit(False))
+    has = F.max(is_(wins)).over(Window.partitionBy(*group))
+    return rows.withColumn("__has", has).where(~(F.col("__has") & is_(loses))).drop("__has")
 
 
 def classify(rules: Sequence[tuple[Column, str]], default: str | None = None) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keratoline.materialize import settled
 from keratoline.operators.ranking import first_by
 
 
@@ -15,17 +16,20 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
 
     The left side looks into the two or three buckets that the band touches,
     the right side is in one, so the join is by hash and never by nested loops.
-    Column names of the sides must differ but for the keys.
+    Column names of the sides must differ but for the keys. how="left" keeps left
+    rows without a partner too, each row by itself, nulls and repeats included.
     """
+    if how == "left":
+        row = "__row"
+        numbered = settled(left.withColumn(row, F.monotonically_increasing_id()))  # numbers that don't change when it is read twice
+        found = band_join(numbered, right, keys, left_at, right_at, below, above, extra)
+        return numbered.join(found.select(row, *[c for c in right.columns if c not in keys]), row, "left").drop(row)
     width = float(below + above) or 1.0
     bucket = "__band"
     lo, hi = F.floor((F.col(left_at) - below) / width), F.floor((F.col(left_at) + above) / width)
     wide = left.withColumn(bucket, F.explode(F.sequence(lo, hi)))
     narrow = right.withColumn(bucket, F.floor(F.col(right_at) / width))
     near = (F.col(right_at) - F.col(left_at)).between(-below, above)
-    if how == "left":
-        inner = band_join(left, right, keys, left_at, right_at, below, above, extra)
-        return left.join(inner.select(*left.columns, *[c for c in right.columns if c not in keys]), [*left.columns], "left")
     out = wide.join(narrow, [*keys, bucket]).where(near if extra is None else near & extra)
     return out.drop(bucket)
 

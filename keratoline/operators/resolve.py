@@ -32,7 +32,8 @@ def best_values(
     row = F.struct(F.col(value).alias("value"), F.col(source).alias("source"), F.col(conf).alias("conf"))
     sure = F.when(~F.isnan(F.col(conf).cast("double")), F.col(conf))
     from_page = ~F.col(source).isin(REPORT, RECORD)
-    found = measurements.where(F.col(value).isNotNull()).groupBy(*group, field).agg(
+    # Dealt by group alone, rows need not move again for the field, nor for a pivot of the result.
+    found = measurements.where(F.col(value).isNotNull()).repartition(*group).groupBy(*group, field).agg(
         F.min_by(row, F.when(F.col(source) == REPORT, F.col(ord_))).alias("sr"),
         F.min_by(row, F.when(F.col(source) == RECORD, F.col(ord_))).alias("spr"),
         F.max_by(row, F.when(from_page, F.struct(sure, F.col(ord_)))).alias("ocr"),

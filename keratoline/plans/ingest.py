@@ -73,13 +73,21 @@ def page_rows(base: DataFrame, pages: DataFrame, located: DataFrame, names: Data
     return out.withColumn("event", F.col("page_number") + PAGE_ORD).drop("page_id")
 
 
-def raw_rows(parts: list[DataFrame], names: bool = True) -> DataFrame:
-    """All rows of all files, with an ordinal that follows path and event."""
+def raw_rows(parts: list[DataFrame], names: bool = True, listing: DataFrame | None = None) -> DataFrame:
+    """All rows of all files, with `ord`: the file's place in the listing, its path, and the row's place in it.
+
+    listing is (path, ord) of inputs that have an order of their own, such as
+    path lists and manifests; else files go by path. `ord` compares as a whole,
+    so nothing has to be numbered over all files.
+    """
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
+    if listing is not None:
+        out = out.join(listing.groupBy("path").agg(F.min("ord").alias("at")), "path", "left")
     columns = [c for c in schemas.raw_columns(names)]
-    at = (F.pmod(F.xxhash64("path"), F.lit(1 << 40)) * (1 << 20) + F.col("event")).alias("ord")
+    place = F.col("at").cast("long") if listing is not None else F.lit(0).cast("long")
+    at = F.struct(place.alias("at"), F.col("path"), F.col("event").cast("int").alias("event")).alias("ord")
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in columns], "path", "event", at)
 
 

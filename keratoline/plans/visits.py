@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keratoline import dims, schemas
 from keratoline.functions.dates import calendar_epoch, right_eye, test_time
+from keratoline.materialize import settled
 from keratoline.operators.resolve import best_values, first_attributes, pivot_fields, to_long
 
 
@@ -32,8 +33,8 @@ def visits(raw: DataFrame, ord_: str = "ord") -> DataFrame:
 
 def summaries(raw: DataFrame, names: bool = True, ord_: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(compact, detailed), a row per visit with at least one value, ordered by visit."""
-    best = best_values(measurements(raw, ord_))
-    about = visits(raw, ord_)
+    best = settled(best_values(measurements(raw, ord_)))
+    about = settled(visits(raw, ord_))
     who = [c for c in ("id", *(schemas.NAMES if names else ()), "birthdate") if c in about.columns]
     times = ["righteye", "timeoftest", "timeoftestEpoch"]
     compact = about.join(pivot_fields(best, ["visit_id"], dims.FIELDS, {"value": ""}), "visit_id")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ def folder_files(spark: SparkSession, root: str, content: bool = True) -> DataFr
 
 def path_list(spark: SparkSession, file: str) -> DataFrame:
     """One path a line, trimmed, without blank lines."""
-    return described(spark.read.text(file).select(trimmed(F.col("value")).alias("path")).where("path <> ''"))
+    lines = spark.read.text(file).select(trimmed(F.col("value")).alias("path")).where("path <> ''")
+    return described(lines.withColumn("ord", F.monotonically_increasing_id()))
 
 
 def manifest(spark: SparkSession, file: str) -> tuple[DataFrame, DataFrame]:
@@ -101,3 +104,46 @@ def open_input(spark: SparkSession, path: str, ledger: DataFrame | None = None)
     else:
         out = folder_files(spark, path, content=False)
     return out if ledger is None else not_in_ledger(out, ledger, "path")
+
+
+class Planned(NamedTuple):
+    """files: what is to be read, with `key` for the ledger; closed: keys that are done without being read; rejects: why, where that is an error."""
+
+    files: DataFrame
+    closed: DataFrame
+    rejects: DataFrame
+
+
+def plan_input(spark: SparkSession, path: str, listing: DataFrame | None = None, ledger: DataFrame | None = None, home: str | None = None) -> Planned:
+    """The input of any kind, settled against the ledger and, for a manifest, against the files that are there (listing).
+
+    Of a manifest, rows whose type hint is not extracted and rows whose file is
+    not listed are closed, so a restart does not look at them again; the latter
+    and rows that can't be read are rejects. Its ledger keys are the file names
+    as written, others' are paths.
+    """
+    none = spark.createDataFrame([], schemas.LEDGER)
+    if not path.endswith(".csv"):
+        return Planned(open_input(spark, path, ledger).withColumn("key", F.col("path")), none, spark.createDataFrame([], schemas.REJECTS))
+    rows, bad = manifest(spark, path)
+    if ledger is not None:
+        rows = not_in_ledger(rows, ledger.select(F.col("path").alias("filename")), "filename")
+    wanted = rows.where(wanted_type(F.col("printouttype")))
+    if listing is None:
+        found, missing = wanted.withColumn("path", home_path(F.col("filename"), home)), wanted.limit(0)
+    else:
+        found = resolve_paths(wanted, listing, home=home)
+        missing = wanted.join(found.select("filename").distinct(), "filename", "left_anti")
+    skipped = rows.where(~wanted_type(F.col("printouttype")))
+    closed = skipped.select(F.col("filename").alias("path")).union(missing.select("filename")).distinct()
+    lost = missing.select(F.lit("MISSING_FILE").alias("category"), F.col("filename").alias("file"), F.lit("neither under its name nor with _1 after it").alias("detail"))
+    return Planned(described(found).withColumn("key", F.col("filename")), closed, bad.select("category", "file", "detail").union(lost))
+
+
+def contents(spark: SparkSession, paths: DataFrame, at_once: int = 10_000) -> DataFrame:
+    """path and content of the listed files. Their names pass through the driver, as in any listing, so many at a time."""
+    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.path) for r in paths.select("path").distinct().toLocalIterator()]
+    out = spark.createDataFrame([], "path string, content binary")
+    for i in range(0, len(names), at_once):
+        out = out.union(spark.read.format("binaryFile").load(names[i : i + at_once]).select("path", "content"))
+    return out

@@ -12,6 +12,11 @@ from keratoline import schemas
 from keratoline.operators.joins import not_in_ledger
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """The files done so far; empty before the first run."""
     try:
@@ -22,14 +27,14 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.LEDGER)
 
 
-def run_once(spark: SparkSession, files: DataFrame, process: Callable[[DataFrame], DataFrame], table: str, done: str) -> int:
-    """Processes the files that the ledger lacks; returns how many. Files without rows are entered too.
+def run_once(spark: SparkSession, files: DataFrame, process: Callable[[DataFrame], DataFrame], table: str, done: str, key: str = "path") -> int:
+    """Processes the files that the ledger lacks; returns how many. Files without rows are entered too. `key` is what the ledger holds.
 
     Rows are appended with the batch's files, and readers take each (path,
     event) once, so a crash between the two writes repeats work, not rows.
     """
-    new = not_in_ledger(files, ledger(spark, done), "path").select(*files.columns)
-    paths = new.select("path").distinct().cache()
+    new = not_in_ledger(files, ledger(spark, done).select(F.col("path").alias(key)), key).select(*files.columns)
+    paths = new.select(F.col(key).alias("path")).distinct().cache()
     n = paths.count()
     if n:
         process(new).write.mode("append").parquet(table)

@@ -8,7 +8,7 @@ import textwrap
 import duckdb
 import pytest
 
-from keratoline import catalog
+from keratoline import catalog, catalog_pages  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

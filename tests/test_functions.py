@@ -80,5 +80,5 @@ def test_keys(spark):
 def test_tables():
     assert len(dims.FIELDS) == len(set(dims.FIELDS)) == 66 and len(dims.SR_MAP) == 21 and len(dims.LABELS) == 40
     known = {*dims.FIELDS}
-    assert {f for _, names in dims.THRESHOLDS for f in names} <= known and {f for names in dims.RELIABILITY.values() for f in names} <= known
+    assert set(dims.THRESHOLDS) <= known and set(dims.RELIABILITY) == known
     assert {f for f, _, _ in dims.RANGES + dims.SUSPICIOUS} <= known and set(dims.SIGN_FIELDS) <= known

@@ -115,3 +115,23 @@ def test_ranking_and_filters(spark):
     assert sorted((r.page, r.field) for r in kept.collect()) == [("a", "KPD"), ("b", "AC_depth"), ("b", "HWTW"), ("b", "free")]
     assert sorted(r.field for r in filters.within_ranges(rows, dims.ranges(spark)).collect()) == ["HWTW", "HWTW", "KPD", "free"]
     assert [r.field for r in filters.outside_ranges(rows, dims.ranges(spark)).collect()] == ["AC_depth"]
+
+
+def test_exclusion_keeps_rows_without_a_field(spark):
+    rows = spark.createDataFrame([("a", "KPD"), ("a", "HWTW"), ("a", None), ("b", "HWTW"), ("b", None)], "page string, field string")
+    assert sorted(map(str, filters.mutually_exclusive(rows, ["page"], "KPD", "HWTW").collect())) == sorted(map(str, [r for r in rows.collect() if tuple(r) != ("a", "HWTW")]))
+
+
+def test_best_values_and_pivot_share_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "v", "Kmax", "SR", 45.0, 1.0), (2, "v", "Kmax", "OCR", 45.01, 0.9), (3, "w", "HWTW", "SPR", 11.0, 1.0)], "ord long, visit_id string, field string, source_type string, value double, conf float")
+    out = resolve.pivot_fields(resolve.best_values(rows), ["visit_id"], ["Kmax", "HWTW"], {"value": ""})
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in out.collect()} == {("v", 45.0, None), ("w", None, 11.0)}
+
+
+def test_left_band_join_keeps_nulls_and_repeats(spark):
+    left = [(1, 0.0, None), (1, 0.0, None), (1, 9.0, "far"), (None, 0.0, "no key"), (2, None, "no place")]
+    right = [(1, 0.5, "a"), (1, -0.5, None), (2, 0.0, "b")]
+    out = joins.band_join(spark.createDataFrame(left, "k int, a double, note string"), spark.createDataFrame(right, "k int, b double, say string"), ["k"], "a", "b", 1, 1, how="left")
+    want = [(1, 0.0, None, 0.5, "a"), (1, 0.0, None, -0.5, None)] * 2 + [(*r, None, None) for r in left[2:]]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
