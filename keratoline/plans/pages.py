@@ -8,7 +8,7 @@ partition and nothing else is shuffled.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -243,39 +243,41 @@ def claim_belin(items: DataFrame) -> DataFrame:
 
 
 SCORE_LABEL = r"(?i)^D[a-z]?\s*:"
-MOST_LABELS = 12
+CHOICES = 20_000  # looked at together
 
 
 def assign_scores(at: np.ndarray) -> tuple[float, float, tuple[float, ...]] | None:
     """(scale, offset, template) of the best fit of label positions, ascending, to a spacing template.
 
     All ordered choices of at least four labels and as many of the six slots are
-    tried at once for each pair of choices; a missing slot costs 200.
+    tried; a missing slot costs 200. Choices of labels go in batches, so a row
+    of many labels takes time but no more memory.
     """
     best, found = np.inf, None
     for template in dims.SCORE_TEMPLATES:
         slots = np.array(template)
         for k in range(4, min(len(at), 6) + 1):
-            xs = at[np.array(list(combinations(range(len(at)), k)))][:, None, :]
             ts = slots[np.array(list(combinations(range(6), k)))][None, :, :]
-            mt, mx = ts.mean(2, keepdims=True), xs.mean(2, keepdims=True)
-            spread = ((ts - mt) ** 2).sum(2)
-            scale = ((ts - mt) * (xs - mx)).sum(2) / spread
-            offset = mx[..., 0] - scale * mt[..., 0]
-            off = xs - (scale[..., None] * ts + offset[..., None])
-            score = (off**2).mean(2) + (6 - k) * 200.0
-            score[(scale < 0.85) | (scale > 1.15) | (np.abs(off).max(2) > 35)] = np.inf
-            i = np.unravel_index(score.argmin(), score.shape)
-            if score[i] < best:
-                best, found = score[i], (float(scale[i]), float(offset[i]), template)
+            labels = combinations(range(len(at)), k)
+            while chosen := list(islice(labels, CHOICES)):
+                xs = at[np.array(chosen)][:, None, :]
+                mt, mx = ts.mean(2, keepdims=True), xs.mean(2, keepdims=True)
+                spread = ((ts - mt) ** 2).sum(2)
+                scale = ((ts - mt) * (xs - mx)).sum(2) / spread
+                offset = mx[..., 0] - scale * mt[..., 0]
+                off = xs - (scale[..., None] * ts + offset[..., None])
+                score = (off**2).mean(2) + (6 - k) * 200.0
+                score[(scale < 0.85) | (scale > 1.15) | (np.abs(off).max(2) > 35)] = np.inf
+                i = np.unravel_index(score.argmin(), score.shape)
+                if score[i] < best:
+                    best, found = score[i], (float(scale[i]), float(offset[i]), template)
     return found
 
 
 def claim_scores(items: DataFrame) -> DataFrame:
     """The six scores in the bottom row of the ectasia page, by the spacing of their labels.
 
-    The row is the band with the most score labels; a row of more than
-    MOST_LABELS has too many choices and is left to the positions.
+    The row is the band with the most score labels.
     """
     text = trimmed(F.col("text"))
     labels = items.where(text.rlike(SCORE_LABEL)).select("page_id", "ord", F.col("cy").cast("double").alias("cy"), (F.col("cx") - F.when(text.rlike(r"^D[a-z]?\s*:\s*-?[0-9]"), 45).otherwise(0)).cast("double").alias("x"))
@@ -283,7 +285,7 @@ def claim_scores(items: DataFrame) -> DataFrame:
     inside = labels.join(row, "page_id").where(F.abs(F.col("cy") - F.col("row_cy")) <= 25)
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if not 4 <= len(rows) <= MOST_LABELS:
+        if len(rows) < 4:
             return pd.DataFrame(columns=["page_id", "row_cy", "field", "x"])
         found = assign_scores(np.sort(rows["x"].to_numpy()))
         if found is None:

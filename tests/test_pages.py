@@ -127,6 +127,15 @@ def test_score_assignment_prefers_full_rows():
     assert pages.assign_scores(np.array([0.0, 50, 100, 150])) is None
 
 
+def test_score_assignment_among_many_labels(monkeypatch):
+    at = np.array([0.0, 272, 498, 730, 966, 1304]) + 60
+    every = np.sort(np.concatenate([at, [5.0, 130, 391, 640, 855, 1111, 1240, 1501]]))
+    scale, offset, template = pages.assign_scores(every)
+    assert (scale, offset) == pytest.approx((1.0, 60.0)) and template == dims.SCORE_TEMPLATES[0]
+    monkeypatch.setattr(pages, "CHOICES", 100)
+    assert pages.assign_scores(every) == (scale, offset, template)
+
+
 def test_unknown_pages_are_rejected_and_types_ordered(spark, run):
     items = run[0]
     assert [r.file for r in pages.unrecognised(items).collect()] == ["blank"]
