@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keratoline.catalog import query, table
-from keratoline.operators import ranking
+from keratoline.operators import ranking, resolve
 from keratoline.plans import ingest, pages
 from keratoline.sinks import tables
 from keratoline.sources import engines, files
@@ -304,3 +304,31 @@ def first_run_wins(spark, sf_dir):
 @query("SELECT '[' || event_type || '] ' || user_id || ' — ' || event_id AS value FROM events")
 def reject_log(spark, sf_dir):
     return tables.reject_lines(table(spark, sf_dir, "events").select(F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("file"), F.col("event_id").cast("string").alias("detail")))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'f_' || user_id WHEN 1 THEN 'g' END AS file_key, CASE event_id % 3 WHEN 0 THEN 'Rf_front.png' WHEN 1 THEN 'a_dcm_p2_b' END AS field FROM events")
+def crop_names(spark, sf_dir):
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("f_"), user, F.lit("_dcm_p1_Rf_front.png"))).when(F.col("event_id") % 3 == 1, F.lit("g_dcm_p3_a_dcm_p2_b")).otherwise(F.lit("no_dcm_p1"))
+    file_key, field = resolve.crop_name(name)
+    return table(spark, sf_dir, "events").select("event_id", file_key.alias("file_key"), field.alias("field"))
+
+
+@query("""SELECT 'a_' || l_orderkey || '_x' AS file_key, field, round(value, 2) AS value FROM (SELECT l_orderkey, 'l_quantity' AS field, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 'l_tax', l_tax FROM lineitem)""")
+def truth_rows(spark, sf_dir):
+    wide = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a."), "l_orderkey", F.lit(".x.dcm")).alias("filename"), F.lit(1).alias("page"), "l_quantity", "l_tax", F.lit("0.9").alias("l_tax_conf"), F.lit("ocr").alias("l_tax_src"), F.lit("n/a").alias("l_note"))
+    return resolve.truth(wide).withColumn("value", F.round("value", 2))
+
+
+@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 40 / 4.0 END AS plain, event_id % 7 = 0 AS point, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 24 / 2.0 END AS cleaned FROM events)
+ SELECT event_id, CAST(CASE WHEN plain IS NULL THEN cleaned WHEN point OR cleaned IS NULL THEN plain WHEN plain <> floor(plain) AND cleaned = floor(cleaned) THEN plain ELSE cleaned END AS DOUBLE) AS value FROM r""")
+def readings_chosen(spark, sf_dir):
+    i = F.col("event_id")
+    value = resolve.chosen_reading(F.when(i % 5 != 0, i % 40 / 4), i % 7 == 0, F.when(i % 3 != 0, i % 24 / 2))
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS path, string_agg(code || '=' || n, ';' ORDER BY code) AS codes FROM (SELECT user_id, event_type AS code, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id""")
+def codes_in_one_text(spark, sf_dir):
+    codes = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("code")).agg(F.count("*").cast("double").alias("value"))
+    return tables.flat_codes(codes)

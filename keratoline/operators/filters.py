@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keratoline.operators.joins import small
+
 
 def within_ranges(rows: DataFrame, ranges: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
     """Rows whose field has no range, or whose value lies in it (both ends count)."""
-    joined = rows.join(F.broadcast(ranges.withColumnRenamed("field", "__field")), F.col(field) == F.col("__field"), "left")
+    joined = rows.join(small(ranges.withColumnRenamed("field", "__field")), F.col(field) == F.col("__field"), "left")
     return joined.where(F.col("__field").isNull() | F.col(value).between(F.col("lo"), F.col("hi"))).select(*rows.columns)
 
 
 def outside_ranges(rows: DataFrame, ranges: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
     """Rows whose field has a range and whose value lies outside it."""
-    joined = rows.join(F.broadcast(ranges.withColumnRenamed("field", "__field")), F.col(field) == F.col("__field"))
+    joined = rows.join(small(ranges.withColumnRenamed("field", "__field")), F.col(field) == F.col("__field"))
     return joined.where((F.col(value) < F.col("lo")) | (F.col(value) > F.col("hi"))).select(*rows.columns)
 
 

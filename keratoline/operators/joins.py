@@ -11,6 +11,11 @@ from keratoline.materialize import settled
 from keratoline.operators.ranking import first_by
 
 
+def small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table, marked for broadcast if it has at most so many rows; beyond, joins move both sides by key."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, below: float, above: float, extra: Column | None = None, how: str = "inner") -> DataFrame:
     """Rows of equal keys for which right_at - left_at lies in [-below, above].
 

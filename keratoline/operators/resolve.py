@@ -91,3 +91,29 @@ def accuracy(pairs: DataFrame, field: str, read: str, truth: str, whole: Sequenc
     near = F.abs(F.col(read) - F.col(truth)) <= F.when(F.col(field).isin(list(whole)), 0.5).otherwise(0.05) if whole else F.abs(F.col(read) - F.col(truth)) <= 0.05
     out = pairs.withColumn("__right", F.coalesce(near, F.lit(False)).cast("bigint"))
     return out.rollup(field).agg(F.sum("__right").alias("correct"), F.count("*").alias("total"))
+
+
+# Columns of a truth table that are no measurements.
+TRUTH_META = ("dcm_path", "filename", "page", "printout_type", "dataset", "confirmed_gt")
+
+
+def truth(wide: DataFrame) -> DataFrame:
+    """file_key, field, value of a wide truth table: a row per cell that is a number. Of a file that stands twice the rows add up."""
+    fields = [c for c in wide.columns if c not in TRUTH_META and not c.endswith(("_conf", "_src"))]
+    key = F.replace(F.regexp_replace("filename", r"(\.dcm)+\z", ""), F.lit("."), F.lit("_"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.col(f"`{c}`").cast("string")).try_cast("double").alias("value")) for c in fields]))
+    return wide.select(key.alias("file_key"), cells.alias("c")).select("file_key", "c.*").where("value is not null")
+
+
+def crop_name(name: Column) -> tuple[Column, Column]:
+    """(file key, field) of a crop's file name, <file>_dcm_p<page>_<field>; nulls if it is none."""
+    file, rest = F.substring_index(name, "_dcm_p", 1), F.substr(name, F.instr(name, F.lit("_dcm_p")) + 6)
+    fits = F.contains(name, F.lit("_dcm_p")) & F.contains(rest, F.lit("_"))
+    return F.when(fits, file), F.when(fits, F.substr(rest, F.instr(rest, F.lit("_")) + 1))
+
+
+def chosen_reading(plain: Column, point: Column, cleaned: Column) -> Column:
+    """Of a crop's readings, as it is and cleaned: the plain one if it surely has a decimal point or alone has a fraction, else the cleaned one."""
+    fraction = lambda c: F.abs(c - F.round(c)) > 0.001
+    keep = plain.isNotNull() & (F.coalesce(point, F.lit(False)) | cleaned.isNull() | (fraction(plain) & ~fraction(cleaned)))
+    return F.when(keep, plain).otherwise(cleaned)

@@ -96,19 +96,24 @@ def scan_rows(found: DataFrame) -> DataFrame:
 
 
 def scan_edges(requests: DataFrame, images: DataFrame) -> DataFrame:
-    """(page_id, scan, first, last): first and last ink in each requested row; images has page_id and image (height, width, RGB data)."""
+    """(page_id, scan, first, last): first and last ink in each requested row; images has page_id and image (height, width, RGB data).
+
+    A page's requests go together, so its image moves once.
+    """
     def run(batches: Iterator[pd.DataFrame]):
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                im = r.image
-                span = ink_span(np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], 3), int(r.row), int(r.start), int(r.stop))
-                if span:
-                    rows.append((r.page_id, r.scan, *span))
+            for page, asked, im in zip(b["page_id"], b["asked"], b["image"], strict=True):
+                pixels = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], 3)
+                for r in asked:
+                    span = ink_span(pixels, int(r["row"]), int(r["start"]), int(r["stop"]))
+                    if span:
+                        rows.append((page, r["scan"], *span))
             yield pd.DataFrame(rows, columns=["page_id", "scan", "first", "last"])
 
     kind = requests.schema["page_id"].dataType.simpleString()
-    return requests.join(images.select("page_id", "image"), "page_id").mapInPandas(run, f"page_id {kind}, scan string, first int, last int")
+    asked = requests.groupBy("page_id").agg(F.collect_list(F.struct("scan", "row", "start", "stop")).alias("asked"))
+    return asked.join(images.select("page_id", "image"), "page_id").mapInPandas(run, f"page_id {kind}, scan string, first int, last int")
 
 
 def regions(found: DataFrame, edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from keratoline.functions.dates import eye_phrase, header_date, header_time, tri
 from keratoline.functions.numbers import extract_numeric, quality_code, repair, signed_number
 from keratoline.materialize import settled
 from keratoline.operators.filters import classify, mutually_exclusive, qa_status, within_ranges
-from keratoline.operators.joins import band_join, union_first
+from keratoline.operators.joins import band_join, small, union_first
 from keratoline.operators.ranking import cluster_mode, first_by, first_claim, reading_order
 from keratoline.operators.regress import affine_fit
 
@@ -146,7 +146,7 @@ def claim_labels(reading: DataFrame, zoned: DataFrame) -> DataFrame:
 
 def fit_pages(located: DataFrame, pages: DataFrame, layouts: DataFrame) -> DataFrame:
     """The affine fit of each page's located fields to its layout (pages has `layout`), the identity where nothing is located."""
-    refs = pages.select("page_id", "layout").join(F.broadcast(layouts), "layout")
+    refs = pages.select("page_id", "layout").join(small(layouts), "layout")
     pairs = located.join(refs, ["page_id", "field"]).select("page_id", *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "cx_ref", "cy_ref")])
     fit = affine_fit(pairs, ["page_id"], "cy", "cy_ref", "cx", "cx_ref")
     out = pages.select("page_id", "layout").join(fit, "page_id", "left")
@@ -155,7 +155,7 @@ def fit_pages(located: DataFrame, pages: DataFrame, layouts: DataFrame) -> DataF
 
 def predicted(fits: DataFrame, layouts: DataFrame) -> DataFrame:
     """Where each field of a page's layout should stand on the page."""
-    return fits.join(F.broadcast(layouts), "layout").select(
+    return fits.join(small(layouts), "layout").select(
         "page_id", "field", (F.col("alpha_x") * F.col("cx_ref") + F.col("beta_x")).cast("float").alias("px"), (F.col("alpha") * F.col("cy_ref") + F.col("beta")).alias("py"), "n_inliers"
     )
 

@@ -71,3 +71,9 @@ def short_type(kind: Column) -> Column:
     for old, new in (('Other("', ""), ('")', ""), (" ", "_"), ("(", ""), (")", "")):
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.lower(out)
+
+
+def flat_codes(codes: DataFrame, group: str = "path") -> DataFrame:
+    """All report codes of a file in one text, `code=value;code=value` by code."""
+    pair = F.concat("code", F.lit("="), plain_number(F.col("value")))
+    return codes.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", pair.alias("p")))), lambda x: x["p"]), ";").alias("codes"))
