@@ -40,8 +40,9 @@ def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     so no row is lost. Rows go by turn, then role and text, nulls first; null
     texts and roles are empty; a null conversation id is one conversation;
     repeated rows are turns of their own; other columns are not read; an empty
-    table gives an empty one. An example is one row, so a conversation must fit
-    in a row.
+    table gives an empty one. An example is one row, and one task makes all of a
+    conversation, so a conversation must fit in a row, some hundred MB at most;
+    n replies make n prefixes, about n / 2 times its text.
     """
     body = escape(F.coalesce(F.col(text), F.lit("")))
     head = F.concat(F.lit(OPEN), _escape_role(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"))

@@ -169,8 +169,9 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "decod
 def round_trip(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and decoded_sha256 of the text read back from the ids.
 
-    Null texts count as empty, null ids and repeated rows are documents like
-    any other, other columns are not read.
+    Null and empty texts have no ids, null ids and repeated rows are documents
+    like any other, texts of any length are encoded whole, chunk by chunk, other
+    columns are not read, an empty table gives an empty one.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
 

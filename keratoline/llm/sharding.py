@@ -82,8 +82,12 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     equal to each other and not to the empty text. Repeated rows are rows of
     their own; null ids are allowed; other columns are not read; an empty table
     gives an empty one; some shards stay empty when there are fewer texts than
-    shards. Each round of counting sends at most (shards - 1) * BUCKETS sums to
-    the driver and needs no exchange of rows.
+    shards; of a very long text only size and checksum are kept. Groups of equal
+    texts above a hundredth of a shard (at most 100 * shards of them) are placed
+    first, the largest on the emptiest shard, as one range would hold them
+    unevenly; one larger than a shard is spread by id. All else is dealt by the
+    histogram. Each round of counting sends at most (shards - 1) * BUCKETS sums
+    to the driver and needs no exchange of rows.
     """
     spark = docs.sparkSession
     rows = S.checkpoint(_keyed(docs, doc_id, text))

@@ -350,8 +350,14 @@ def test_shards_are_even_and_keep_copies_together(spark, hot):
 
 def test_sharding_few_rows(spark):
     assert sharding.shard(docs(spark, []).limit(0)).collect() == []
-    assert sorted(r.slot for r in sharding.shard(docs(spark, ["a"])).collect() if r.shard == 0) in ([0], [0, 1], [])
-    assert sharding.shard(docs(spark, ["a", "a", None])).count() == 4
+    for texts in (["a"], ["a", "a", None], [None], ["", "b", "é"]):
+        rows = sharding.shard(docs(spark, texts)).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in rows) == sorted([(False, i, len((t or "").encode()) + 1) for i, t in enumerate(texts)] + [(True, 0, 6)])
+        slots = {}
+        for r in rows:
+            assert 0 <= r.shard < 8 and r.grown_shard is None
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # --- pipeline
