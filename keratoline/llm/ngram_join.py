@@ -36,6 +36,7 @@ HELD = 16_384  # classes of a bucket that one task splits
 DEPTH = 4  # splits below a bucket; what is left then is compared whole
 LIKE = 0.9  # share of the threshold which a member's mean likeness to its bucket needs to leave the split
 TILE = 400_000  # shingles of one side of a tile
+FEW = 200_000  # classes that met another, up to which they go to the texts and not the texts to them
 _MULTIPLIERS = H.mix(np.arange(1, TOKENS + 1, dtype=H.U64) * H.U64(0xD1342543DE82EF95)) | H.U64(1)
 
 
@@ -390,6 +391,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: f
     known = S.checkpoint(met.join(classes.select("v", "class_id", "size", "n"), "v"))
     wide = known.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     members = known.join(wide, "component").select("component", "v", "size", F.col("class_id").alias("id"), "tiles")
+    if known.count() <= FEW:
+        members = F.broadcast(members)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def sets(batches):
