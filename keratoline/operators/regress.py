@@ -36,9 +36,10 @@ def affine_fit(pairs: DataFrame, group: Sequence[str], y: str, y_ref: str, x: st
         off = F.abs(F.col(at) - (F.col(f"a0_{name}") * F.col(ref) + F.col(f"b0_{name}")))
         marked = marked.withColumn(f"in_{name}", off < limit)
         yi, ri = F.when(F.col(f"in_{name}"), F.col(at)), F.when(F.col(f"in_{name}"), F.col(ref))
+        ei = yi - (F.col(f"a0_{name}") * ri + F.col(f"b0_{name}"))  # off the first line, so that the spread is not a small difference of large numbers
         slope, start = line(yi, ri)
         again += [F.count_if(f"in_{name}").alias(f"n_{name}"), slope.alias(f"a1_{name}"), start.alias(f"b1_{name}")]
-        again += [F.var_pop(yi).alias(f"vy_{name}"), F.var_pop(ri).alias(f"vr_{name}"), F.covar_pop(yi, ri).alias(f"c_{name}")]
+        again += [F.var_pop(ei).alias(f"ve_{name}"), F.var_pop(ri).alias(f"vr_{name}"), F.covar_pop(ei, ri).alias(f"c_{name}")]
     kept = [c for c in first.columns if c not in group]
     out = marked.groupBy(*group).agg(*[F.first(c).alias(c) for c in kept], *again)
     enough = F.col("n_pairs") >= least
@@ -48,7 +49,8 @@ def affine_fit(pairs: DataFrame, group: Sequence[str], y: str, y_ref: str, x: st
         return tuple(F.when(enough, F.when(more, F.col(f"{p}1_{name}")).otherwise(F.col(f"{p}0_{name}"))) for p in "ab")
 
     a, b = fitted("y")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("vy_y") + a * a * F.col("vr_y") - 2 * a * F.col("c_y")))
+    turn = a - F.col("a0_y")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("ve_y") + turn * turn * F.col("vr_y") - 2 * turn * F.col("c_y")))
     zero = F.lit(0.0)
     columns = [
         *group, F.coalesce(a, F.lit(1.0)).alias("alpha"), F.coalesce(b, zero).alias("beta"),

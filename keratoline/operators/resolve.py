@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keratoline import dims
 
@@ -66,13 +67,18 @@ def pivot_fields(best: DataFrame, group: Sequence[str], names: Sequence[str], pa
 
 
 def to_long(wide: DataFrame, keys: Sequence[str], names: Sequence[str], conf_suffix: str = "_Paddle_conf") -> DataFrame:
-    """Key columns, field, value, conf: a row per field that parses as a number. A confidence that doesn't parse is 0."""
+    """Key columns, field, value, conf: a row per field that is a finite number, or a text that parses as one. A confidence that is none is 0."""
     from keratoline.functions.numbers import number
 
-    pairs = [
-        F.struct(F.lit(n).alias("field"), number(F.col(f"`{n}`").cast("string")).alias("value"), F.coalesce(number(F.col(f"`{n}{conf_suffix}`").cast("string")), F.lit(0.0)).cast("float").alias("conf") if f"{n}{conf_suffix}" in wide.columns else F.lit(0.0).cast("float").alias("conf"))
-        for n in names if n in wide.columns
-    ]
+    def read(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if not isinstance(wide.schema[name].dataType, T.NumericType):
+            return number(c.cast("string"))
+        d = c.cast("double")
+        return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+
+    sure = lambda n: F.coalesce(read(f"{n}{conf_suffix}"), F.lit(0.0)) if f"{n}{conf_suffix}" in wide.columns else F.lit(0.0)
+    pairs = [F.struct(F.lit(n).alias("field"), read(n).alias("value"), sure(n).cast("float").alias("conf")) for n in names if n in wide.columns]
     return wide.select(*keys, F.explode(F.array(*pairs)).alias("m")).where("m.value is not null").select(*keys, "m.*")
 
 

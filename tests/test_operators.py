@@ -135,3 +135,15 @@ def test_left_band_join_keeps_nulls_and_repeats(spark):
     out = joins.band_join(spark.createDataFrame(left, "k int, a double, note string"), spark.createDataFrame(right, "k int, b double, say string"), ["k"], "a", "b", 1, 1, how="left")
     want = [(1, 0.0, None, 0.5, "a"), (1, 0.0, None, -0.5, None)] * 2 + [(*r, None, None) for r in left[2:]]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+def test_spread_of_an_exact_line_is_nothing(spark):
+    rows = [("g", 1000.0 + 0.963 * x + 437.2, float(x)) for x in range(100, 2000, 37)] + [("g", 1826.1, 300.0)]
+    r = regress.affine_fit(spark.createDataFrame(rows, "k string, y double, ref double"), ["k"], "y", "ref").first()
+    assert r.n_inliers == len(rows) - 1 and r.alpha == pytest.approx(0.963) and r.resid_std < 1e-6
+
+
+def test_long_form_takes_numbers_as_they_are(spark):
+    df = spark.createDataFrame([("k", 1e-7, "2.5", float("nan"), 0.5), ("l", 1e12, "x", 3.0, None)], "k string, a double, b string, c double, a_Paddle_conf double")
+    got = {(r.k, r.field): (r.value, round(r.conf, 3)) for r in resolve.to_long(df, ["k"], ["a", "b", "c"]).collect()}
+    assert got == {("k", "a"): (1e-7, 0.5), ("k", "b"): (2.5, 0.0), ("l", "a"): (1e12, 0.0), ("l", "c"): (3.0, 0.0)}
