@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from keratoline.llm import _hashing as H
 from keratoline.llm import _spark as S
+from keratoline.llm._kept import only
 
 TOKENS = 48  # of a sketch
 MISS, TRIAL_MISS = 1e-6, 0.01  # of a pair at the threshold: by all runs; by the trials below one large bucket that holds it
@@ -76,6 +77,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """doc_id, row (a hash of all columns), v (the set's fingerprint), n (its size) and sketch of each row."""
 
     def run(batches):
+        only("ngram_join")
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)

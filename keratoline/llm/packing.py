@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keratoline.llm._kept import kept
+
 SEPARATOR = b"\0\0\0\0"  # id 0
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 # Byte-level vocabularies show printable bytes as they are and the others, in order, from U+0100 on.
@@ -122,16 +124,6 @@ class Encoder:
         return self.words.encode(head) + b"".join(map(self.words.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder a Python worker, so words met in one task are known in the next."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, open_bins: int = 4096) -> DataFrame:
     """Packs documents into sequences of at most `size` tokens.
 
@@ -160,7 +152,7 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, size: int, open_
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        encoder, bins = encoder_of(path), OpenBins(size, open_bins)
+        encoder, bins = kept("packing", path, lambda: Encoder(path)), OpenBins(size, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

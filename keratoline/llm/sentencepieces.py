@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keratoline.llm._kept import kept
+
 BLANK = "▁"  # fixed value: stands for a space inside pieces
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -119,14 +121,9 @@ class Codec:
         return b"".join(map(self.pieces.shown.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(path: str) -> Codec:
     """One codec a Python worker, so words met in one task are known in the next."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return kept("sentencepieces", path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from keratoline.llm import _hashing as H
 from keratoline.llm import _spark as S
+from keratoline.llm._kept import only
 
 PROBE, SEGMENT = 0, 1
 RUN = 100  # passages of a segment at most
@@ -207,6 +208,7 @@ def _units(docs: DataFrame, doc_id: str, text: str, window: int, unit_bytes: int
     units_df = docs.select(S.unit_of(doc_id, text, units).alias("u"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def first(key: tuple, unit: pa.Table) -> pa.Table:
+        only("substring")
         w = Words(unit, window)
         probes = Probes(w, block, bits)
         return H.asked(H.ask(key[0].as_py(), PROBE, probes.keys, buckets, bits, probes.flags(w, block)))

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from keratoline.llm import _hashing as H
 from keratoline.llm import _spark as S
+from keratoline.llm._kept import only
 
 TRIGGER, EVERY = 12, 32
 RUN = 400  # windows of a segment at most
@@ -269,6 +270,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
     def first(key: tuple, unit: pa.Table) -> pa.Table:
+        only("suffix")
         phrase, many, _ = _distinct(Parse(unit["text"], length).phrase >> H.U64(64 - bits))
         return H.asked(H.ask(key[0].as_py(), PHRASE, phrase, buckets, bits, ids=np.minimum(many, H.U64(2))))
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keratoline.llm._kept import only
+
 # Identity terms, those of one row being swapped for each other.
 IDENTITY = (
     ("person", "woman", "man", "girl", "boy", "female", "male", "transgender", "nonbinary"),
@@ -72,6 +74,7 @@ def _gathered(rows: DataFrame, most: int) -> list:
     """(toxic, distinct features, swaps and how often) of each document of (id, text, toxic); the first `most` by a hash of the id."""
 
     def run(batches):
+        only("toxicity")
         for batch in batches:
             features, pairs = [], []
             for text in batch.column(1).to_pylist():
@@ -193,6 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     at = kept.index(text)
 
     def run(batches):
+        only("toxicity")
         scorer = Scorer(model)
         for batch in batches:
             logit = np.array([scorer(t) for t in batch.column(at).to_pylist()], np.float64)

@@ -57,6 +57,28 @@ def test_packing_is_whole_and_within_bins(spark):
     assert len(ids.ids) == ids.length and ids.ids[-1] == 0
 
 
+def test_words_kept_are_bounded_and_change_nothing():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(400)}", f"naïve{rng.randrange(50)},", "x.y!"]) for _ in range(60)) for _ in range(80)]
+    few, many = packing.Encoder(BPE, keep=20), packing.Encoder(BPE)
+    for t in texts:
+        assert few(t) == many(t)
+        assert len(few.words) <= 21
+
+
+def test_what_is_kept_goes_when_another_operator_begins():
+    from keratoline.llm import _kept
+
+    made = []
+    make = lambda: made.append(1) or object()
+    one = _kept.kept("a", "x", make)
+    assert _kept.kept("a", "x", make) is one and _kept.kept("a", "y", make) is not one and len(made) == 2
+    _kept.only("a")
+    assert _kept.kept("a", "x", make) is one
+    _kept.only("b")
+    assert _kept.kept("a", "x", make) is not one
+
+
 def test_packing_takes_pieces_as_they_come():
     """Against best fit written plainly: over all open bins, least room that is enough, else close the fullest."""
     rng = random.Random(4)
