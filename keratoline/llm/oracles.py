@@ -63,3 +63,39 @@ CHAT = r"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (reply), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (reply), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (reply OR i = n) AS BIGINT) AS formatted_chars FROM y GROUP BY conv_id"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of an SQL text's UTF-8 bytes, bit by bit."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({digits}) // 2), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS UBIGINT))"
+    bits = f"flatten(list_transform({octets}, lambda b: list_transform(range(8), lambda k: (b >> k) & 1)))"
+    step = "xor(c >> 1, CAST(3988292384 AS UBIGINT) * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {bits}), lambda c, b: {step}), CAST(4294967295 AS UBIGINT))"
+
+
+# Nodes by the digest of their turns; what is summed over a subtree is summed over all pairs of a node and an ancestor.
+CONVERSATION_TRIE = rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS ts, CAST({_crc32('CAST(conv_id AS VARCHAR)')} % 4 AS BIGINT) AS h FROM t GROUP BY 1),
+ r AS (SELECT o.conv_id, list_concat(coalesce(b.ts[1 : o.h], []), o.ts[o.h + 1 :]) AS ts FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+ m AS (SELECT conv_id, d, sha256(CAST(to_json(ts[1 : d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(to_json(ts[1 : d - 1]) AS VARCHAR)) END AS pk, d = len(ts) AS ends,
+  CASE WHEN d > 0 THEN len(regexp_extract_all(ts[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+ n AS (SELECT k, any_value(pk) AS pk, any_value(d) AS depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY k),
+ c AS (SELECT pk AS k, count(*) AS n_children FROM n WHERE pk IS NOT NULL GROUP BY 1),
+ a(k, up) AS (SELECT k, k FROM n UNION ALL SELECT a.k, n.pk FROM a JOIN n ON n.k = a.up WHERE n.pk IS NOT NULL),
+ s AS (SELECT up AS k, count(*) FILTER (c.k IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM a JOIN n ON n.k = a.k LEFT JOIN c ON c.k = a.k GROUP BY 1)
+ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+ FROM n JOIN s ON s.k = n.k LEFT JOIN c ON c.k = n.k LEFT JOIN n p ON p.k = n.pk"""
+
+# Pairs by the letters before and after the one that differs, or by the whole word that a deletion gives.
+SPELLING = rf"""WITH RECURSIVE d AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+ o AS (SELECT run, count(*) AS n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM d WHERE length(run) >= 5 GROUP BY doc_id, run),
+ w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM o) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+ x AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ y AS (SELECT DISTINCT x.word AS longer, x.n AS longer_n, w.word AS shorter, w.n AS shorter_n FROM x JOIN w ON w.word = x.head || x.tail),
+ p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word UNION ALL SELECT longer, shorter, shorter_n FROM y UNION ALL SELECT shorter, longer, longer_n FROM y),
+ b AS (SELECT word, count(*) AS n_near, max(n) AS most FROM p GROUP BY 1),
+ f AS (SELECT b.word, n_near, most, min(near) AS near FROM b JOIN p ON p.word = b.word AND p.n = b.most GROUP BY 1, 2, 3),
+ g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN near END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM w LEFT JOIN f USING (word)),
+ u(word, top) AS (SELECT word, word FROM g UNION ALL SELECT u.word, g.form FROM u JOIN g ON g.word = u.top WHERE g.form IS NOT NULL)
+ SELECT g.word, g.form, u.top AS root, g.n, g.n_near, g.form_n FROM g JOIN u ON u.word = g.word JOIN g e ON e.word = u.top AND e.form IS NULL"""

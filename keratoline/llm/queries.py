@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keratoline.llm import bpe_automaton, chat, embed_dedup, ngram_join, oracles, packing, sentencepieces, sharding, spelling, substring, suffix, topk, toxicity
+from keratoline.llm import bpe_automaton, chat, conversation_trie, embed_dedup, ngram_join, oracles, packing, sentencepieces, sharding, spelling, substring, suffix, topk, toxicity
 from keratoline.llm._spark import table
 
 
@@ -62,11 +62,15 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(conversation_trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_best_fit_packing, op4_exact_topk, op5_embedding_near_dedup, op6_sentencepiece, op7_substring_dedup, op8_chat_format, op9_suffix_dedup, op10_sharding, op11_bpe, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_best_fit_packing, op4_exact_topk, op5_embedding_near_dedup, op6_sentencepiece, op7_substring_dedup, op8_chat_format, op9_suffix_dedup, op10_sharding, op11_bpe, op12_conversation_trie, op13_spelling_variants)}
 QUERIES["pipeline"] = corpus_pipeline.run
 # The others have none: op1, op6 and op11 learn or look up what SQL has not, op3 needs a tokenizer, op10's splitters depend on how far its counting refines.
 ORACLE: dict[str, str] = {
@@ -76,6 +80,8 @@ ORACLE: dict[str, str] = {
     "op7_substring_dedup": oracles.SUBSTRING,
     "op8_chat_format": oracles.CHAT,
     "op9_suffix_dedup": oracles.SUFFIX,
+    "op12_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op13_spelling_variants": oracles.SPELLING,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
