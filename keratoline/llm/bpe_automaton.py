@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from keratoline.llm._kept import kept
 
+LONG = 64  # letters of a word above which it is not kept, as it comes seldom again
 START = -1  # nothing comes before: every arc leaves this state
 
 
@@ -34,8 +36,9 @@ class Automaton:
     A state is kept as what it lacks. An arc w that v's absence kept from being
     made is absent too, as is what grew from it. Tokens are numbered so that a
     token is followed by those that begin with it, the latest first (`place`);
-    then each lost arc is one interval, and a state a row of intervals. States
-    of equal rows are one.
+    then each lost arc is one interval, and a state a row of intervals: an arc is
+    missing if an odd number of the row's bounds are at or below its place.
+    States of equal rows are one.
     """
 
     def __init__(self, base: list[int], merges: list[tuple[int, int, int]], final: set[int]):
@@ -119,13 +122,6 @@ class Automaton:
         self.row = array("i", np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32).tobytes())
         self.bounds = array("i", np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32).tobytes())
 
-    def step(self, state: int, place: int) -> bool:
-        """Whether the arc of that place leaves the state."""
-        if state == START:
-            return True
-        begin = self.row[state]
-        return not (bisect_right(self.bounds, place, begin, self.row[state + 1]) - begin) & 1
-
 
 class Codec:
     """Encodes and decodes texts by a BPE file of the tokenizers library.
@@ -134,14 +130,16 @@ class Codec:
     byte symbols; all merging is the automaton's.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are laid out as little-endian unsigned 32-bit numbers")
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        model, self.keep, self.words = said["model"], keep, {}
+        model, self.keep = said["model"], keep
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         odd = [k for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
         if model["type"] != "BPE" or odd or said.get("decoder") or said.get("post_processor"):
             raise ValueError(f"{path} is no plain BPE whose tokens are decoded as they are: {odd}")
@@ -156,6 +154,7 @@ class Codec:
         # Only where words are letters, digits or marks and white space is dropped can a text be parted at its spaces first.
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         first = steps[0]
+        gc.freeze()  # the automaton stays, so collections of garbage need not walk through it
         self.apart = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and {n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}
 
     def _compile(self, model: dict) -> None:
@@ -175,51 +174,71 @@ class Codec:
             spelt[w] = (spelt[u][0] + spelt[v][0], spelt[v][1])
             rules.append((u, v, w))
         self.automaton = auto = Automaton(list(map(vocab.get, single)), rules, {t for t, (_, final) in spelt.items() if final})
-        # The arcs by their letters: a node is [next nodes, arc inside a word, arc that ends one]; an arc is (place, state it leads to, id, length).
-        self.root: list = [{}, None, None]
+        # The arcs by their letters: a node holds its next nodes by letter, the arc that may go on as 0 and the one that ends a word as 1.
+        self.root: dict = {}
         for t in auto.alive:
             node, (letters, final) = self.root, spelt[t]
             for c in letters:
-                node = node[0].setdefault(c, [{}, None, None])
+                node = node.setdefault(c, {})
             arc = (auto.place[t], auto.state.get(t, START), t, len(letters))
             if final or not suffix:
-                node[2] = arc
-            if not final:
                 node[1] = arc
+            if not final:
+                node[0] = arc
+
+    def _arcs(self, letters: str, at: int) -> list[tuple[int, int, int, int]]:
+        """The arcs that are spelt from there on, the longest last."""
+        found, node, last = [], self.root, len(letters) - 1
+        for to in range(at, last):
+            node = node.get(letters[to])
+            if node is None:
+                return found
+            if 0 in node:
+                found.append(node[0])
+        node = node.get(letters[last])
+        if node is not None and 1 in node:
+            found.append(node[1])
+        return found
 
     def word(self, letters: str) -> list[int]:
         """The ids of a word of byte symbols: the one path of the automaton that spells it.
 
-        Each place of the word is reached by one path alone, so the arc that
-        leads there is kept, and the last leads back to the first.
+        Longer arcs are tried first, and taken back where they lead nowhere. A
+        place of the word is reached by one path at most, so none is tried from twice.
         """
-        n = len(letters)
-        came: list = [None] * (n + 1)
-        step = self.automaton.step
-        for at in range(n):
-            if at and came[at] is None:
+        at, state, n, out, taken = 0, START, len(letters), [], []
+        row, bounds = self.automaton.row, self.automaton.bounds
+        arcs = self._arcs(letters, 0)
+        while True:
+            if not arcs:
+                at, state, arcs = taken.pop()
+                out.pop()
                 continue
-            state = came[at][1] if at else START
-            node = self.root
-            for to in range(at, n):
-                node = node[0].get(letters[to])
-                if node is None:
-                    break
-                arc = node[1] if to + 1 < n else node[2]
-                if arc is not None and step(state, arc[0]):
-                    came[to + 1] = arc
-        out, at = [], n
-        while at:
-            out.append(came[at][2])
-            at -= came[at][3]
-        return out[::-1]
+            place, to, token, length = arcs.pop()
+            if state != START:
+                begin = row[state]
+                if (bisect_right(bounds, place, begin, row[state + 1]) - begin) & 1:
+                    continue
+            out.append(token)
+            if at + length == n:
+                return out
+            taken.append((at, state, arcs))
+            at, state = at + length, to
+            arcs = self._arcs(letters, at)
 
     def _parts(self, text: str) -> bytes:
         """The ids of a text in which no added token stands."""
         if self.normalizer:
             text = self.normalizer.normalize_str(text)
-        words = [w for w, _ in self.splitter.pre_tokenize_str(text)]
-        return array("I", [i for w in words for i in self.word(w)]).tobytes()
+        return b"".join([self.pieces.get(w) or self._spelt(w) for w, _ in self.splitter.pre_tokenize_str(text)])
+
+    def _spelt(self, word: str) -> bytes:
+        ids = array("I", self.word(word)).tobytes()
+        if len(word) <= LONG:
+            if len(self.pieces) >= self.keep:
+                self.pieces.clear()
+            self.pieces[word] = ids
+        return ids
 
     def _whole(self, text: str) -> bytes:
         if not self.has_added:
@@ -228,7 +247,7 @@ class Codec:
 
     def _learnt(self, chunk: str) -> bytes:
         ids = self._whole(chunk)
-        if len(chunk) <= 64:  # longer ones come seldom again
+        if len(chunk) <= LONG:
             if len(self.words) >= self.keep:
                 self.words.clear()
             self.words[chunk] = ids
