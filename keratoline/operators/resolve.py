@@ -59,26 +59,36 @@ def first_attributes(rows: DataFrame, group: Sequence[str], columns: Sequence[st
 def pivot_fields(best: DataFrame, group: Sequence[str], names: Sequence[str], parts: dict[str, str], field: str = "field") -> DataFrame:
     """One row per group with each field's parts in columns of their own; `parts` maps a column to its suffix.
 
-    Conditional aggregates over a given list need one shuffle and no job to find
-    the names.
+    A group's fields meet in one typed map, whatever their number, and are cut
+    into columns after that: one shuffle, one aggregate, no job to find the
+    names. A group has a field once at most. Groups without any of the fields
+    give a row of nulls.
     """
-    aggs = [F.max(F.when(F.col(field) == name, F.col(column))).alias(f"{name}{suffix}") for name in names for column, suffix in parts.items()]
-    return best.groupBy(*group).agg(*aggs)
+    entry = f"struct(`{field}`, struct({', '.join(f'`{c}`' for c in parts)}))"
+    held = f"map_from_entries(collect_list({entry}) FILTER (WHERE `{field}` IN ({', '.join(map(_quoted, names))})))"
+    cut = [f"__of[{_quoted(name)}].`{column}` AS `{name}{suffix}`" for name in names for column, suffix in parts.items()]
+    return best.groupBy(*group).agg(F.expr(held).alias("__of")).selectExpr(*[f"`{g}`" for g in group], *cut)
+
+
+def _quoted(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def to_long(wide: DataFrame, keys: Sequence[str], names: Sequence[str], conf_suffix: str = "_Paddle_conf") -> DataFrame:
     """Key columns, field, value, conf: a row per field that is a finite number, or a text that parses as one. A confidence that is none is 0."""
     from keratoline.functions.numbers import number
 
+    there, kinds = set(wide.columns), {f.name: f.dataType for f in wide.schema.fields}
+
     def read(name: str) -> Column:
         c = F.col(f"`{name}`")
-        if not isinstance(wide.schema[name].dataType, T.NumericType):
+        if not isinstance(kinds[name], T.NumericType):
             return number(c.cast("string"))
         d = c.cast("double")
         return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
 
-    sure = lambda n: F.coalesce(read(f"{n}{conf_suffix}"), F.lit(0.0)) if f"{n}{conf_suffix}" in wide.columns else F.lit(0.0)
-    pairs = [F.struct(F.lit(n).alias("field"), read(n).alias("value"), sure(n).cast("float").alias("conf")) for n in names if n in wide.columns]
+    sure = lambda n: F.coalesce(read(f"{n}{conf_suffix}"), F.lit(0.0)) if f"{n}{conf_suffix}" in there else F.lit(0.0)
+    pairs = [F.struct(F.lit(n).alias("field"), read(n).alias("value"), sure(n).cast("float").alias("conf")) for n in names if n in there]
     return wide.select(*keys, F.explode(F.array(*pairs)).alias("m")).where("m.value is not null").select(*keys, "m.*")
 
 

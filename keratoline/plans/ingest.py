@@ -46,6 +46,21 @@ def base_rows(meta: DataFrame, names: bool = True, exact_keys: bool = True) -> D
     return out if names else out.drop(*schemas.NAMES)
 
 
+def bare_rows(paths: DataFrame, names: bool = True) -> DataFrame:
+    """As base_rows(), of files (path) that say nothing of a patient."""
+    blank = [F.lit("").alias(c) for c in ("id", "FamilyName", "GivenName", "birthdate", "eye", "exam_date", "exam_time", "device_serial", "software_version")]
+    out = paths.select("path", *blank, F.regexp_extract("path", r"^(.*)/[^/]*\z", 1).alias("source_folder"), F.regexp_extract("path", r"([^/]*)\z", 1).alias("source_file"), F.lit("").alias("imagedir"))
+    return out if names else out.drop(*schemas.NAMES)
+
+
+def image_rows(identity: DataFrame, written: DataFrame, names: bool = True) -> DataFrame:
+    """As base_rows(), of image files by image_identity(); written is (path, filename) of those that a manifest names, by which they are called."""
+    place = bare_rows(identity.select("path"), names).select("path", "source_folder", "source_file", "device_serial", "software_version")
+    out = identity.drop("page_id").join(place, "path").join(written.groupBy("path").agg(F.min("filename").alias("filename")), "path", "left")
+    out = out.withColumn("source_file", F.coalesce("filename", "source_file")).drop("filename")
+    return out if names else out.drop(*schemas.NAMES)
+
+
 def _wide(base: DataFrame, values: DataFrame, by: list[str], extra: dict[str, Column]) -> DataFrame:
     """Values in long form as one wide row per file (and page), with confidences beside them."""
     wide = pivot_fields(values, by, dims.FIELDS, {"value": "", "conf": schemas.CONF_SUFFIX})
@@ -63,11 +78,11 @@ def record_rows(decoded: DataFrame, base: DataFrame) -> DataFrame:
     return _wide(base, values, ["path"], {"printout_type": F.lit("SPR"), "qa_status": F.lit("ok"), "page_number": F.lit(0), "event": F.lit(RECORD_ORD)})
 
 
-def page_rows(base: DataFrame, pages: DataFrame, located: DataFrame, names: DataFrame, supported_only: bool = True) -> DataFrame:
-    """Page rows. names maps page_id to (path, page_number); types that are not supported go unless told otherwise."""
+def page_rows(base: DataFrame, pages: DataFrame, located: DataFrame, names: DataFrame, supported_only: bool | Column = True) -> DataFrame:
+    """Page rows. names maps page_id to (path, page_number); types that are not supported go where supported_only (a column of names, if it differs) holds."""
     told = pages.join(names, "page_id")
-    if supported_only:
-        told = told.where(F.col("printout_type").isin(dims.SUPPORTED_TYPES))
+    if supported_only is not False:
+        told = told.where(F.col("printout_type").isin(dims.SUPPORTED_TYPES) | ~F.lit(supported_only))
     wide = pivot_fields(located.where(F.col("field").isin(dims.FIELDS)), ["page_id"], dims.FIELDS, {"value": "", "conf": schemas.CONF_SUFFIX})
     out = base.join(told.select("page_id", "path", "page_number", "printout_type", "qa_status", "n_fields"), "path").join(wide, "page_id", "left")
     return out.withColumn("event", F.col("page_number") + PAGE_ORD).drop("page_id")
@@ -85,13 +100,13 @@ def raw_rows(parts: list[DataFrame], names: bool = True, listing: DataFrame | No
         out = out.unionByName(part, allowMissingColumns=True)
     if listing is not None:
         out = out.join(listing.groupBy("path").agg(F.min("ord").alias("at")), "path", "left")
-    columns = [c for c in schemas.raw_columns(names)]
+    there = set(out.columns)
     place = F.col("at").cast("long") if listing is not None else F.lit(0).cast("long")
     at = F.struct(place.alias("at"), F.col("path"), F.col("event").cast("int").alias("event")).alias("ord")
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("double").alias(c) for c in columns], "path", "event", at)
+    return out.withColumn("ord", at).selectExpr(*[f"`{c}`" if c in there else f"CAST(NULL AS DOUBLE) AS `{c}`" for c in schemas.raw_columns(names)], "path", "event", "ord")
 
 
-def image_identity(pages: DataFrame, found: DataFrame, manifest: DataFrame) -> DataFrame:
+def image_identity(pages: DataFrame, found: DataFrame, manifest: DataFrame, exact_keys: bool = True) -> DataFrame:
     """Identity of image pages in three tiers: a manifest row with core identity alone, a partial one filled from the page, else the page.
 
     pages has page_id and path, found is plans.pages.demographics, manifest has path.
@@ -106,4 +121,4 @@ def image_identity(pages: DataFrame, found: DataFrame, manifest: DataFrame) -> D
     out = joined.select("page_id", "path", pick("id", "o_id", "id"), pick("family_name", "o_family", "FamilyName"), pick("given_name", "o_given", "GivenName"), pick("dob", "o_dob", "birthdate"), pick("laterality", "o_eye", "eye"), pick("examdate", "o_date", "exam_date"), pick("examtime", "o_time", "exam_time"))
     side = F.coalesce(dates.laterality(F.col("eye")), F.col("eye"))
     keyed = (F.col("id") != "") & (F.col("eye") != "")
-    return out.withColumn("imagedir", F.when(keyed, key_columns(F.col("id"), side, F.col("exam_date"), F.col("exam_time"))).otherwise(F.lit("")))
+    return out.withColumn("imagedir", F.when(keyed, key_columns(F.col("id"), side, F.col("exam_date"), F.col("exam_time"), exact_keys)).otherwise(F.lit("")))

@@ -95,6 +95,15 @@ def scan_rows(found: DataFrame) -> DataFrame:
     return out.where((F.col("row") >= 0) & (F.col("row") < F.col("h"))).drop("h")
 
 
+def ink_of(pixels: np.ndarray, ask: dict) -> list[tuple]:
+    """(scan, first, last) of one requested row, if there is ink in it."""
+    span = ink_span(pixels, int(ask["row"]), int(ask["start"]), int(ask["stop"]))
+    return [(ask["scan"], *span)] if span else []
+
+
+EDGES = "page_id string, scan string, first int, last int"  # what decode.look_again() makes by ink_of()
+
+
 def scan_edges(requests: DataFrame, images: DataFrame) -> DataFrame:
     """(page_id, scan, first, last): first and last ink in each requested row; images has page_id and image (height, width, RGB data).
 
@@ -105,10 +114,7 @@ def scan_edges(requests: DataFrame, images: DataFrame) -> DataFrame:
             rows = []
             for page, asked, im in zip(b["page_id"], b["asked"], b["image"], strict=True):
                 pixels = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], 3)
-                for r in asked:
-                    span = ink_span(pixels, int(r["row"]), int(r["start"]), int(r["stop"]))
-                    if span:
-                        rows.append((page, r["scan"], *span))
+                rows += [(page, *found) for r in asked for found in ink_of(pixels, r)]
             yield pd.DataFrame(rows, columns=["page_id", "scan", "first", "last"])
 
     kind = requests.schema["page_id"].dataType.simpleString()

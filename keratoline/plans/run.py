@@ -1,75 +1,171 @@
-"""The whole ingestion: from a folder, path list or manifest to raw rows, summaries, sources and rejects, restartable."""
+"""The whole ingestion: from a folder, path list or manifest to raw rows, images, summaries, sources and rejects, restartable."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from keratoline import schemas
 from keratoline.materialize import settled
-from keratoline.plans import ingest, pages, visits
-from keratoline.sinks import tables
-from keratoline.sources import dicom, engines, files
+from keratoline.plans import ingest, maps, pages, visits
+from keratoline.sinks import images, tables
+from keratoline.sources import decode, dicom, engines, files
 from keratoline.streaming import incremental
 
+BUCKETS = 64  # folders by visit below each table: what a change rebuilds is chosen by them
+BATCH = 64 << 30  # bytes of files that are committed together
 
-def file_rows(found: DataFrame, names: bool, exact_keys: bool, listing: DataFrame | None, renderer: Callable | None, reader: Callable | None, layouts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(raw rows, rejects) of files with their content. Pages are read only with both engines and layouts."""
-    decoded = settled(dicom.read(found))
-    base = settled(ingest.base_rows(dicom.metadata(decoded), names, exact_keys))
-    parts, rejects = [ingest.report_rows(decoded, base), ingest.record_rows(decoded, base)], dicom.rejects(decoded)
-    if renderer and reader and layouts is not None:
-        rendered = settled(engines.render(decoded.where("error is null"), renderer))
-        read = settled(engines.read_pages(rendered, reader))
-        items = read.where("error is null").drop("error")
-        told, located = pages.extract(items, layouts)
-        numbered = rendered.select("page_id", "path", F.col("page").alias("page_number"))
-        parts.append(ingest.page_rows(base, told, located, numbered))
-        rejects = rejects.union(engines.failed_pages(rendered, "RENDER_ERROR")).union(engines.failed_pages(read, "READ_ERROR")).union(pages.unrecognised(items))
-    return ingest.raw_rows(parts, names, listing), rejects
+
+class Found(NamedTuple):
+    """What files give: raw rows, rejects, images to be written, and pages, whose pixels those are."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    images: DataFrame | None
+    pages: DataFrame
+
+
+def file_rows(
+    decoded: DataFrame, manifest: DataFrame | None, names: bool, exact_keys: bool, listing: DataFrame | None, by: engines.Engines, layouts: DataFrame | None, save_pages: bool = False, save_maps: bool = False,
+) -> Found:
+    """Of decode.decode()'s files. A DICOM file gives a report, a record and page rows, a document and an image page rows.
+
+    Pages of documents that stand alone have no identity, those of images one in
+    three tiers (manifest, manifest filled from the page, page). Of documents
+    that stand alone all known page types are taken, else those supported.
+    """
+    own = decoded.where("kind = 'dcm' and category is null")
+    base = settled(ingest.base_rows(dicom.metadata(own), names, exact_keys))
+    parts, rejects, wanted = [ingest.report_rows(own, base), ingest.record_rows(own, base)], decode.rejects(decoded), None
+    there = settled(decode.pages_of(decoded))
+    if layouts is not None:
+        items = settled(decode.items_of_pages(decoded))
+        again = lambda asked: engines.best_reading(decode.read_crops(asked, there, by), ["page_id", "field", "kind"])
+        told, located = pages.extract(items, layouts, again)
+        of_images = there.where("kind = 'image'").select("page_id", "path")
+        if manifest is None:
+            manifest = decoded.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in ("path", *schemas.MANIFEST)))
+        who = ingest.image_identity(of_images, pages.demographics(items.join(of_images.select("page_id"), "page_id")), manifest, exact_keys)
+        alone = ingest.bare_rows(decoded.where("kind = 'pdf' and category is null"), names)
+        every = settled(base.unionByName(alone).unionByName(ingest.image_rows(who, manifest.select("path", "filename"), names)))
+        numbered = there.select("page_id", "path", F.col("page").alias("page_number"), (F.col("kind") != "pdf").alias("supported_only"))
+        parts.append(ingest.page_rows(every, told, located, numbered, F.col("supported_only")))
+        rejects = rejects.union(pages.unrecognised(items))
+        if save_pages or save_maps:
+            visit = told.select("page_id", "printout_type").join(there, "page_id").join(every.select("path", F.col("imagedir").alias("visit_id")), "path")
+            visit = settled(visit.select("page_id", "visit_id", "printout_type", F.col("page").alias("page_number"), "width", "height", "kind"))
+            if save_maps:
+                marked = settled(maps.anchors(items, visit))
+                edges = decode.look_again(maps.scan_rows(marked), there, by, maps.ink_of, maps.EDGES)
+                wanted = images.wanted_maps(visit, maps.regions(marked, edges))
+            if save_pages:
+                whole = images.wanted_pages(visit.where("kind = 'dcm'"))
+                wanted = whole if wanted is None else wanted.unionByName(whole)
+    return Found(ingest.raw_rows(parts, names, listing), rejects, wanted, there)
+
+
+def bucket_of(visit: Column, path: Column | None = None) -> Column:
+    """The folder of a visit; rows without a visit are spread by their file."""
+    key = visit if path is None else F.when(F.coalesce(visit, F.lit("")) == "", path).otherwise(visit)
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def run(
     spark: SparkSession, source: str, out: str, listing: DataFrame | None = None, names: bool = True, exact_keys: bool = True,
     renderer: Callable | None = None, reader: Callable | None = None, layouts: DataFrame | None = None, csv: bool = False,
+    decoder: Callable | None = engines.Decoder, opener: Callable = files.open_file, save_pages: bool = False, save_maps: bool = True, batch_bytes: int = BATCH, skip: tuple[str, ...] = (),
 ) -> dict[str, int]:
-    """Ingests what the ledger below `out` lacks and rebuilds the summaries; returns counts.
+    """Ingests what the ledger below `out` lacks and rebuilds the summaries of the visits it touches; returns counts.
+
+    Files go in batches of about `batch_bytes`, each with a commit of its own: a
+    run that fails keeps the batches before, and rows of a batch that is not
+    committed are not read. A batch's files are opened by the tasks, once for all
+    that is read of them; second looks, map edges and images open them again.
 
-    Below `out`: raw, done and rejects (appended), compact, detailed and sources
-    (rebuilt from all raw rows), with csv=True as CSV too. A second run with the
-    same input adds nothing.
+    Below `out`: raw and rejects (appended), images (files by visit), done (the
+    ledger), compact, detailed and sources, and with csv=True those as CSV
+    folders too. Files that can't be opened, and those for which there is no
+    engine, are rejects but not done. A second run with the same input adds nothing.
     """
+    by = engines.Engines(renderer, reader, decoder, opener)
     raw, done, rejected = f"{out}/raw", f"{out}/done", f"{out}/rejects"
     planned = files.plan_input(spark, source, listing, incremental.ledger(spark, done))
-    order = settled(planned.files.select("path", "ord")) if "ord" in planned.files.columns else None
-    given = settled(planned.files.select("key", "path"))
-    counts = {"rejected": 0, "closed": planned.closed.count()}
-
-    def note(rows: DataFrame) -> None:
-        rows = settled(rows)
-        counts["rejected"] += rows.count()
-        rows.write.mode("append").parquet(rejected)
-
-    def process(new: DataFrame) -> DataFrame:
-        # A local path comes back from the listing with its scheme; the order is by the path as given.
-        bare = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-        content = files.contents(spark, new).withColumn("at", bare("path")).join(new.select(F.col("path").alias("given"), bare("path").alias("at")).distinct(), "at")
-        rows, bad = file_rows(content.select(F.col("given").alias("path"), "content"), names, exact_keys, order, renderer, reader, layouts)
-        note(bad)
-        return rows
-
-    note(planned.rejects)
-    counts["files"] = incremental.run_once(spark, given, process, raw, done, "key")
+    given = settled(planned.files if "length" in planned.files.columns else files.sized(planned.files, "_1" if source.endswith(".csv") and listing is None else None))
+    order = given.select("path", "ord") if "ord" in given.columns else None
+    lost = given.where("length is null").select("key", "path", "length")
+    closed = planned.closed.select("path")
+    if source.endswith(".csv"):
+        closed = closed.union(lost.select("key"))
+    closed = settled(closed.distinct())
+    missing = lost.select(F.lit(decode.MISSING).alias("category"), F.col("key").alias("file"), F.lit("no such file").alias("detail"))
+    counts = {"files": 0, "rejected": _written(planned.rejects.union(missing), rejected, None), "closed": closed.count(), "unkeyed": 0, "images": 0}
     if counts["closed"]:
-        planned.closed.write.mode("append").parquet(done)
-    counts |= {"rows": 0, "visits": 0}
-    if incremental.exists(spark, raw):  # also after a run that stopped before its summaries
-        rows = settled(incremental.rows_once(spark, raw))
-        compact, detailed = (settled(t) for t in visits.summaries(rows, names))
-        counts |= {"rows": rows.count(), "visits": compact.count(), "unkeyed": visits.unkeyed(rows)}
-        for name, table in (("compact", compact), ("detailed", detailed), ("sources", tables.visit_sources(rows))):
-            table.write.mode("overwrite").parquet(f"{out}/{name}")
-            if csv:
-                tables.write_csv(table, f"{out}/{name}_csv", single=True)
+        incremental.commit(closed, done, None)
+    dealt, n = incremental.batched(given.where("length is not null"), batch_bytes)
+    commits = []
+    for i in range(n):
+        name, batch = incremental.new_commit(), dealt.where(F.col("batch") == i)
+        decoded = settled(decode.decode(batch.select("path").distinct(), by, layouts is not None))
+        found = file_rows(decoded, batch if "filename" in batch.columns else None, names, exact_keys, order, by, layouts, save_pages, save_maps)
+        if found.images is not None:
+            counts["images"] += images.save(found.images, found.pages, by, f"{out}/images").where("new").count()
+        seen = Observation()
+        keyless = F.count_if(F.coalesce("imagedir", F.lit("")) == "").alias("unkeyed")
+        rows = found.rows.observe(seen, keyless).withColumns({"bucket": bucket_of(F.col("imagedir"), F.col("path")), "commit": F.lit(name)})
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket", "commit").parquet(raw)
+        counts["unkeyed"] += seen.get["unkeyed"]
+        counts["rejected"] += _written(found.rejects, rejected, name)
+        looked_at = decoded.where(~F.coalesce(F.col("category").isin(*decode.AGAIN), F.lit(False))).select("path")
+        keys = settled(batch.join(looked_at, "path").select(F.col("key").alias("path")).distinct())
+        counts["files"] += keys.count()
+        incremental.commit(keys, done, name)
+        commits.append(name)
+    counts |= rebuild(spark, out, names, commits, csv, skip)
     return counts
+
+
+def _written(rejects: DataFrame, at: str, commit: str | None) -> int:
+    """Appends rejects and returns how many; they are counted as they are written."""
+    seen = Observation()
+    rejects.withColumn("commit", F.lit(commit).cast("string")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(at)
+    return seen.get["n"]
+
+
+def rebuild(spark: SparkSession, out: str, names: bool = True, commits: list[str] | None = None, csv: bool = False, skip: tuple[str, ...] = ()) -> dict[str, int]:
+    """Makes the summaries of the visits that the commits touch anew, or of all visits; returns counts of all rows and visits.
+
+    Only folders of raw rows and summaries in which a touched visit lies are read
+    and overwritten; what they hold of other visits is kept as it is. So are the
+    summaries of a run that stopped before it came to them made by the next
+    rebuild without commits.
+    """
+    raw = f"{out}/raw"
+    if not incremental.exists(spark, raw) or spark.read.parquet(raw).isEmpty():
+        return {"rows": 0, "visits": 0}
+    rows = incremental.committed(spark, raw, f"{out}/done")
+    behind = incremental.ledger(spark, f"{out}/summarised").select(F.col("path").alias("commit"))
+    new = rows.select("commit", "bucket", "imagedir").distinct()
+    touched = new if commits is None else new.join(behind, "commit", "left_anti")  # also those of a run that stopped before its summaries
+    touched = settled(touched.where("imagedir <> ''").select("bucket", "imagedir").distinct())
+    folders = [r.bucket for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
+    if folders:
+        mine = rows.where(F.col("bucket").isin(folders)).join(touched.select("imagedir"), "imagedir", "left_semi")
+        compact, detailed = visits.summaries(settled(mine.drop("bucket", "commit")), names)
+        made = {"compact": (compact, "imagedir"), "detailed": (detailed, "imagedir"), "sources": (tables.visit_sources(mine), "visit_id")}
+        for name, (table, key) in made.items():
+            if name in skip:
+                continue
+            at = f"{out}/{name}"
+            table = table.withColumn("bucket", bucket_of(F.col(key)))
+            if commits is not None and incremental.exists(spark, at):
+                kept = spark.read.parquet(at).where(F.col("bucket").isin(folders)).join(touched.select(F.col("imagedir").alias(key)), key, "left_anti")
+                table = table.unionByName(kept, allowMissingColumns=True)
+            settled(table.repartition("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
+            if csv:
+                tables.write_csv(spark.read.parquet(at).drop("bucket").orderBy(key), f"{out}/{name}_csv")
+    incremental.commit(rows.select(F.col("commit").alias("path")).distinct().join(behind.withColumnRenamed("commit", "path"), "path", "left_anti"), f"{out}/summarised", None)
+    done = "compact" if "compact" not in skip else "detailed"
+    return {"rows": rows.count(), "visits": spark.read.parquet(f"{out}/{done}").count() if incremental.exists(spark, f"{out}/{done}") else 0}

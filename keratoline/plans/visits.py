@@ -32,7 +32,7 @@ def visits(raw: DataFrame, ord_: str = "ord") -> DataFrame:
 
 
 def summaries(raw: DataFrame, names: bool = True, ord_: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """(compact, detailed), a row per visit with at least one value, ordered by visit."""
+    """(compact, detailed), a row per visit with at least one value. Their order is left to what writes them."""
     best = settled(best_values(measurements(raw, ord_)))
     about = settled(visits(raw, ord_))
     who = [c for c in ("id", *(schemas.NAMES if names else ()), "birthdate") if c in about.columns]
@@ -43,6 +43,6 @@ def summaries(raw: DataFrame, names: bool = True, ord_: str = "ord") -> tuple[Da
     imagedir = F.col("visit_id").alias("imagedir")
     more = ["exam_date", "exam_time", "device_serial", "software_version", "n_source_rows", "source_types"]
     return (
-        compact.select(*who, *times, imagedir, *dims.FIELDS).orderBy("imagedir"),
-        detailed.select(*who, *times, imagedir, *more, *[f"{f}{s}" for f in dims.FIELDS for s in parts.values()]).orderBy("imagedir"),
+        compact.select(*who, *times, imagedir, *dims.FIELDS),
+        detailed.select(*who, *times, imagedir, *more, *[f"{f}{s}" for f in dims.FIELDS for s in parts.values()]),
     )

@@ -10,7 +10,7 @@ NAMES = ["FamilyName", "GivenName"]
 EVENT = ["source_folder", "source_file", "page_number", "printout_type", "qa_status", "n_fields", "device_serial", "software_version", "imagedir"]
 CONF_SUFFIX = "_Paddle_conf"
 MEASUREMENTS = "ord bigint, visit_id string, source_type string, field string, value double, conf float"
-LEDGER = "path string"
+LEDGER = "path string, commit string"
 REJECTS = "category string, file string, detail string"
 
 

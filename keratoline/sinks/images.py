@@ -1,7 +1,8 @@
-"""Page and map images of visits, as rows of (visit_id, name, png), and copies of output folders."""
+"""Page and map images of visits, as rows of (visit_id, name, png) or as files, and copies of output folders."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keratoline.operators.ranking import first_by
+from keratoline.sources.decode import look_again
+from keratoline.sources.engines import Engines
+from keratoline.sources.files import file_system
 from keratoline.sources.images import png
 
 # What stands for the page types in file names, replaced in this order.
@@ -68,6 +72,47 @@ def map_images(images: DataFrame, told: DataFrame, regions: DataFrame) -> DataFr
     return _cut(files.join(images.select("page_id", "image"), "page_id"))
 
 
+def wanted_pages(told: DataFrame) -> DataFrame:
+    """(page_id, visit_id, name, box) of whole pages, chosen as page_images() does; a null box is the whole page."""
+    named = told.where("printout_type is not null and visit_id <> ''").select("page_id", "visit_id", page_name(F.col("printout_type"), F.col("page_number")).alias("name"))
+    return first_by(named, ["visit_id", "name"], ["page_id"]).withColumn("box", F.lit(None).cast("struct<x: int, y: int, width: int, height: int>"))
+
+
+def wanted_maps(told: DataFrame, regions: DataFrame) -> DataFrame:
+    """(page_id, visit_id, name, box) of the maps on pages, chosen as map_images() does."""
+    named = regions.join(told.where("visit_id <> ''").select("page_id", "visit_id"), "page_id").withColumn("name", F.concat(F.lit("map_"), "name", F.lit(".png")))
+    return first_by(named, ["visit_id", "name"], ["page_id"]).select("page_id", "visit_id", "name", F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "width", "height")]).alias("box"))
+
+
+def put_file(folder: str, name: str, data: bytes) -> bool:
+    """Writes a file unless there is one; False if there is. It stands under its name only when it is whole."""
+    from pyarrow import fs
+
+    system, at = file_system(folder)
+    if system.get_file_info(f"{at}/{name}").type == fs.FileType.File:
+        return False
+    system.create_dir(at, recursive=True)
+    part = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as file:
+        file.write(data)
+    system.move(part, f"{at}/{name}")
+    return True
+
+
+def save(wanted: DataFrame, pages: DataFrame, engines: Engines, folder: str) -> DataFrame:
+    """Writes the wanted images as <folder>/<visit>/<name>, from the tasks that render their pages; (page_id, visit_id, name, new).
+
+    What is there already stays. Nothing is written before the rows are asked
+    for, and a task that is run again writes the same files.
+    """
+    def each(pixels: np.ndarray, ask: dict) -> list[tuple]:
+        box = ask["box"]
+        part = pixels if box is None else pixels[max(box["y"], 0) : box["y"] + box["height"], max(box["x"], 0) : box["x"] + box["width"]]
+        return [(ask["visit_id"], ask["name"], put_file(f"{folder}/{ask['visit_id']}", ask["name"], png(part)))] if part.size else []
+
+    return look_again(wanted, pages, engines, each, "page_id string, visit_id string, name string, new boolean")
+
+
 def not_saved(new: DataFrame, saved: DataFrame) -> DataFrame:
     """Images whose name the visit does not have yet."""
     return new.join(saved.select("visit_id", "name").distinct(), ["visit_id", "name"], "left_anti")

@@ -1,27 +1,44 @@
-"""Engines that turn pages into images and images into text items. They are plugged in; none ships with the package.
+"""Engines that turn pages into images and images into text items. They are plugged in; none but a plain image decoder ships with the package.
 
 A renderer has page_count(pdf) and render(pdf, page, dpi) -> RGB array; a reader
-has read(image) -> [(text, confidence, polygon)]. Each is built once a Python
-worker by a factory, and retried once with a fresh engine after a failure.
+has read(image) -> [(text, confidence, polygon)]; a decoder has decode(bytes) ->
+RGB array of an image file. Each is built once a Python worker by a factory, and
+retried once with a fresh engine after a failure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import importlib
+from collections.abc import Callable
+from typing import Any, NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keratoline import schemas
 from keratoline.functions.numbers import extract_numeric
-from keratoline.sources.images import upscaled
+from keratoline.sources.files import open_file
+from keratoline.sources.images import Decoder
 
 DPI = 300
 _built: dict = {}
 
 
+class Engines(NamedTuple):
+    """Factories of engines, and what opens a path. Pages are read only with a reader, those of documents only with a renderer too."""
+
+    renderer: Callable | None = None
+    reader: Callable | None = None
+    decoder: Callable | None = Decoder
+    opener: Callable = open_file
+
+
+def named(module: str) -> Engines:
+    """The engines of a module: its `renderer`, `reader`, `decoder` and `opener`, as far as it has them."""
+    found = importlib.import_module(module)
+    return Engines(**{n: getattr(found, n) for n in Engines._fields if hasattr(found, n)})
+
+
 def once(factory: Callable):
     """The factory's engine, built once a worker."""
     if factory not in _built:
@@ -29,57 +46,16 @@ def once(factory: Callable):
     return _built[factory]
 
 
-def page_list(documents: DataFrame, renderer: Callable, path: str = "path", pdf: str = "pdf") -> DataFrame:
-    """path, page (from 1) and error of every page of every document; a document that can't be counted has one, with the error."""
-    def run(batches: Iterator[pd.DataFrame]):
-        for b in batches:
-            rows = []
-            for p, data in zip(b[path], b[pdf], strict=True):
-                try:
-                    n, error = max(1, int(once(renderer).page_count(bytes(data)))), None
-                except Exception as e:  # noqa: BLE001  engines raise what they like
-                    n, error = 1, str(e) or type(e).__name__
-                rows += [(p, i, error) for i in range(1, n + 1)]
-            yield pd.DataFrame(rows, columns=["path", "page", "error"])
-
-    return documents.where(F.col(pdf).isNotNull()).select(path, pdf).mapInPandas(run, "path string, page int, error string")
-
-
-IMAGE = "struct<height: int, width: int, data: binary>"
-
-
-def render(documents: DataFrame, renderer: Callable, path: str = "path", pdf: str = "pdf", dpi: int = DPI) -> DataFrame:
-    """path, page (from 1), page_id, image and error of every page, rendered one at a time, small ones enlarged.
-
-    A page that fails is tried once more by a fresh engine; then it has an error
-    and no image, and so has page 1 of a document that can't be opened.
-    """
-    def one(data: bytes, page: int):
-        for last in (False, True):
-            try:
-                return once(renderer).render(data, page, dpi), None
-            except Exception as e:  # noqa: BLE001
-                _built.pop(renderer, None)
-                if last:
-                    return None, str(e) or type(e).__name__
-
-    def run(batches: Iterator[pd.DataFrame]):
-        for b in batches:
-            for p, data in zip(b["path"], b["pdf"], strict=True):
-                try:
-                    n, error = int(once(renderer).page_count(bytes(data))), None
-                except Exception as e:  # noqa: BLE001
-                    n, error = 1, str(e) or type(e).__name__
-                for page in range(1, n + 1):
-                    pixels, failed = (None, error) if error else one(bytes(data), page)
-                    image, height = None, None
-                    if pixels is not None:
-                        pixels, height = upscaled(np.ascontiguousarray(pixels, np.uint8))
-                        image = {"height": pixels.shape[0], "width": pixels.shape[1], "data": pixels.tobytes()}
-                    yield pd.DataFrame([(p, page, f"{p}#{page}", image, height, failed)], columns=["path", "page", "page_id", "image", "page_height", "error"])
-
-    given = documents.where(F.col(pdf).isNotNull()).select(F.col(path).alias("path"), F.col(pdf).alias("pdf"))
-    return given.mapInPandas(run, f"path string, page int, page_id string, image {IMAGE}, page_height int, error string")
+def tried_twice(factory: Callable, work: Callable[[Any], Any]) -> tuple[Any, str | None]:
+    """(what work makes with the factory's engine, None), the second time with a fresh engine; (None, error) if both fail."""
+    for last in (False, True):
+        try:
+            return work(once(factory)), None
+        except Exception as e:  # noqa: BLE001  engines raise what they like
+            _built.pop(factory, None)
+            if last:
+                return None, str(e) or type(e).__name__
+    raise AssertionError
 
 
 def items_of(text_regions: list, page_id: str, height: int | None) -> list[tuple]:
@@ -91,37 +67,6 @@ def items_of(text_regions: list, page_id: str, height: int | None) -> list[tuple
     return rows
 
 
-def read_pages(images: DataFrame, reader: Callable, page_id: str = "page_id", image: str = "image", height: str = "page_height") -> DataFrame:
-    """Items of every image (height, width, RGB bytes in a struct), and a row with `error` for each that fails twice."""
-    def run(batches: Iterator[pd.DataFrame]):
-        for b in batches:
-            rows = []
-            for pid, im, h in zip(b["page_id"], b["image"], b["page_height"], strict=True):
-                pixels = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], 3)
-                for last in (False, True):
-                    try:
-                        rows += [(*item, None) for item in items_of(once(reader).read(pixels), pid, None if pd.isna(h) else int(h))]
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        _built.pop(reader, None)
-                        if last:
-                            rows.append((pid, *[None] * 10, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "text", "confidence", "cx", "cy", "x0", "y0", "x1", "y1", "page_height", "error"])
-
-    given = images.select(F.col(page_id).alias("page_id"), F.col(image).alias("image"), F.col(height).alias("page_height")).where("image is not null")
-    return given.mapInPandas(run, f"{schemas.ITEMS}, error string")
-
-
-def read_images(images: DataFrame, reader: Callable, page_id: str = "page_id", image: str = "image", height: str = "page_height") -> DataFrame:
-    """The items alone: a page that fails twice gives none (read_pages tells which)."""
-    return read_pages(images, reader, page_id, image, height).where("error is null").drop("error")
-
-
-def failed_pages(pages: DataFrame, category: str) -> DataFrame:
-    """Pages with an error, as rejects."""
-    return pages.where("error is not null").select(F.lit(category).alias("category"), F.col("page_id").alias("file"), F.col("error").alias("detail"))
-
-
 def best_reading(items: DataFrame, by: list[str], power: int = 1) -> DataFrame:
     """The most credible number of each crop: confidence times length (at least 3 bytes), among texts that start like a number."""
     bare = F.regexp_replace(F.trim("text"), r"^[(\[]+", "")

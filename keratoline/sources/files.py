@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keratoline import schemas
 from keratoline.functions.dates import blank_to_null, manifest_date, manifest_time, trimmed
@@ -80,6 +83,15 @@ def resolve_paths(rows: DataFrame, listing: DataFrame, path: str = "filename", h
     return first_by(found, [path, "ord"], ["__at"]).withColumn("path", F.col("__path")).drop("__at", "__try", "__path")
 
 
+def kind_of(path: str, head: bytes) -> str | None:
+    """As file_kind(), of one file whose first bytes are known."""
+    name = path.rsplit("/", 1)[-1]
+    ext = name.rsplit(".", 1)[1].lower() if "." in name else ""
+    if ext in ("dcm", "pdf"):
+        return ext
+    return "image" if ext in IMAGES or any(head.hex().upper().startswith(magic) for magic, _ in MAGIC) else None
+
+
 def file_kind(ext: Column, content: Column | None = None) -> Column:
     """dcm, pdf, image or null: by extension, else by the first bytes."""
     out = F.when(ext == "dcm", "dcm").when(ext == "pdf", "pdf").when(ext.isin(*IMAGES), "image")
@@ -119,8 +131,9 @@ def plan_input(spark: SparkSession, path: str, listing: DataFrame | None = None,
 
     Of a manifest, rows whose type hint is not extracted and rows whose file is
     not listed are closed, so a restart does not look at them again; the latter
-    and rows that can't be read are rejects. Its ledger keys are the file names
-    as written, others' are paths.
+    and rows that can't be read are rejects. Without a listing, sized() finds out
+    which files are there. A manifest's ledger keys are the file names as
+    written, others' are paths.
     """
     none = spark.createDataFrame([], schemas.LEDGER)
     if not path.endswith(".csv"):
@@ -140,10 +153,41 @@ def plan_input(spark: SparkSession, path: str, listing: DataFrame | None = None,
     return Planned(described(found).withColumn("key", F.col("filename")), closed, bad.select("category", "file", "detail").union(lost))
 
 
-def contents(spark: SparkSession, paths: DataFrame, at_once: int = 10_000) -> DataFrame:
-    """path and content of the listed files. Their names pass through the driver, as in any listing, so many at a time."""
-    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.path) for r in paths.select("path").distinct().toLocalIterator()]
-    out = spark.createDataFrame([], "path string, content binary")
-    for i in range(0, len(names), at_once):
-        out = out.union(spark.read.format("binaryFile").load(names[i : i + at_once]).select("path", "content"))
-    return out
+def file_system(path: str):
+    """(file system, path in it) by the path's scheme; a path without one is local."""
+    from pyarrow import fs
+
+    bare = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(bare) if "://" in bare else (fs.LocalFileSystem(), bare)
+
+
+def open_file(path: str):
+    """A file handle that reads and seeks, of any file system that the path's scheme tells."""
+    system, at = file_system(path)
+    return system.open_input_file(at)
+
+
+def sized(paths: DataFrame, other: str | None = None) -> DataFrame:
+    """The rows with `length`, looked up by the tasks; null where no file is. With `other`, a file is looked for under its path with that after it too."""
+    kept = [c for c in paths.columns if c != "length"]
+    at = kept.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyarrow import fs
+
+        for batch in batches:
+            found, lengths = [], []
+            for path in batch.column(at).to_pylist():
+                for tried in (path, path + other) if other else (path,):
+                    system, inner = file_system(tried)
+                    info = system.get_file_info(inner)
+                    if info.type == fs.FileType.File:
+                        break
+                there = info.type == fs.FileType.File
+                found.append(tried if there else path)
+                lengths.append(info.size if there else None)
+            columns = [pa.array(found, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lengths, pa.int64())], names=[*kept, "length"])
+
+    src = paths.select(*kept)
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("length", T.LongType())]))

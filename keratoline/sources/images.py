@@ -82,3 +82,79 @@ def png(image: np.ndarray) -> bytes:
     rows[:, 1:] = image[..., :3].reshape(h, -1)
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes(), 6)) + part(b"IEND", b"")
+
+
+class Decoder:
+    """Decodes PNG (8 or 16 bits, not interlaced) and BMP (24 or 32 bits, not compressed) files to RGB. ValueError for others."""
+
+    def decode(self, data: bytes) -> np.ndarray:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return _png_pixels(data)
+        if data[:2] == b"BM":
+            return _bmp_pixels(data)
+        raise ValueError("an image of another format than PNG and BMP needs a decoder of its own")
+
+
+def _png_pixels(data: bytes) -> np.ndarray:
+    at, parts, palette, head = 8, [], None, None
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += size + 12
+    if head is None or not parts:
+        raise ValueError("a PNG file without pixels")
+    width, height, bits, colour, _, _, interlaced = head
+    if interlaced or bits not in (8, 16) or colour not in CHANNELS or (colour == 3 and palette is None):
+        raise ValueError("a PNG file of a kind that needs a decoder of its own")
+    step = CHANNELS[colour] * bits // 8
+    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * step)
+    out = np.zeros((height, width * step), np.uint8)
+    above = np.zeros(width * step, np.uint8)
+    for y in range(height):
+        above = out[y] = _unfiltered(rows[y, 0], rows[y, 1:], above, step)
+    pixels = out.reshape(height, width, step)[..., :: bits // 8]  # of 16 bits the upper 8
+    if colour == 3:
+        return palette[pixels[..., 0]]
+    return np.ascontiguousarray(np.repeat(pixels[..., :1], 3, -1) if colour in (0, 4) else pixels[..., :3])
+
+
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}  # of the PNG colour types
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A row of bytes without its filter (PNG specification, section 9)."""
+    if kind == 0:
+        return row
+    if kind == 1:
+        return np.cumsum(row.reshape(-1, step), 0, np.uint8).ravel()
+    if kind == 2:
+        return row + above
+    if kind not in (3, 4):
+        raise ValueError("a PNG file with an unknown filter")
+    line, up, out = row.tolist(), above.tolist(), [0] * len(row)
+    for i, x in enumerate(line):
+        a, b = (out[i - step] if i >= step else 0), up[i]
+        if kind == 3:
+            out[i] = (x + (a + b) // 2) & 255
+            continue
+        c = up[i - step] if i >= step else 0
+        pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        out[i] = (x + (a if pa <= pb and pa <= pc else b if pb <= pc else c)) & 255
+    return np.array(out, np.uint8)
+
+
+def _bmp_pixels(data: bytes) -> np.ndarray:
+    start, = struct.unpack_from("<I", data, 10)
+    width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+    if bits not in (24, 32) or packed not in (0, 3) or width <= 0:
+        raise ValueError("a BMP file of a kind that needs a decoder of its own")
+    line = (width * bits // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, abs(height) * line, start).reshape(abs(height), line)[:, : width * bits // 8]
+    pixels = rows.reshape(abs(height), width, bits // 8)[..., 2::-1]
+    return np.ascontiguousarray(pixels[::-1] if height > 0 else pixels)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +19,29 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """The files done so far; empty before the first run."""
-    try:
-        return spark.read.schema(schemas.LEDGER).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schemas.LEDGER)
+    return spark.read.schema(schemas.LEDGER).parquet(path) if exists(spark, path) else spark.createDataFrame([], schemas.LEDGER)
+
+
+def batched(files: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(files with `batch`, number of batches): so many batches that each holds about `most` bytes by `length`, files being spread by their path. Of no files there is none."""
+    files_n, size = files.agg(F.count(F.lit(1)), F.sum("length")).first()
+    n = max(1, -(-size // most)) if files_n else 0
+    return files.withColumn("batch", F.pmod(F.xxhash64("path"), F.lit(max(n, 1))).cast("int")), n
+
+
+def new_commit() -> str:
+    return f"c{uuid.uuid4().hex}"
+
+
+def commit(keys: DataFrame, done: str, name: str | None) -> None:
+    """Enters the keys (path) into the ledger, in one file and so all or none. Rows written under this name count from now on."""
+    keys.select("path", F.lit(name).cast("string").alias("commit")).coalesce(1).write.mode("append").parquet(done)
+
+
+def committed(spark: SparkSession, table: str, done: str) -> DataFrame:
+    """The rows of a table whose `commit` the ledger holds; what a run wrote before it failed is not among them."""
+    names = ledger(spark, done).select("commit").where("commit is not null").distinct()
+    return spark.read.parquet(table).join(names, "commit", "left_semi")
 
 
 def run_once(spark: SparkSession, files: DataFrame, process: Callable[[DataFrame], DataFrame], table: str, done: str, key: str = "path") -> int:

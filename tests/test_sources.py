@@ -34,13 +34,13 @@ def report_item(kind, code, value, children=b"", implicit=False):
     return body + (e(dicom.CONTENT, b"SQ", item(children)) if children else b"")
 
 
-def make_dicom(implicit=False, blob=None, extra=b""):
+def make_dicom(implicit=False, blob=None, extra=b"", document=b"%PDF"):
     e = lambda *a: element(*a, implicit=implicit)
     meta = element(dicom.SYNTAX, b"UI", b"1.2.840.10008.1.2" if implicit else b"1.2.840.10008.1.2.1")
     inner = report_item(b"NUM", b"BAMD", b"1.5", implicit=implicit)
     tree = item(report_item(b"CONTAINER", b"", b"", inner, implicit)) + item(report_item(b"NUM", b"BAMD", b"1.75", implicit=implicit), True) + item(report_item(b"NUM", b"", b"3", implicit=implicit)) + item(report_item(b"NUM", b"RSAGMIN", b"7.5", implicit=implicit)) + item(report_item(b"NUM", b"ACD", b"x", implicit=implicit))
     body = e(0x00080020, b"DA", b"20240131") + e(0x00080030, b"TM", b"101112") + e(0x00100010, b"PN", b"Doe^Ann^M") + e(0x00100020, b"LO", b" P1 ") + e(0x00200060, b"CS", b"l ") + extra
-    body += e(dicom.CONTENT, b"SQ", tree) + e(dicom.DOCUMENT, b"OB", b"%PDF") + (e(dicom.RECORD, b"OB", blob) if blob else b"")
+    body += e(dicom.CONTENT, b"SQ", tree) + e(dicom.DOCUMENT, b"OB", document) + (e(dicom.RECORD, b"OB", blob) if blob else b"")
     return b"\0" * 128 + b"DICM" + meta + body
 
 
