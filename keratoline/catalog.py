@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from keratoline import dims
 from keratoline.functions import dates, keys, numbers
-from keratoline.operators import filters, joins, ranking, regress, resolve
+from keratoline.operators import filters, joins, median, ranking, regress, resolve
 from keratoline.plans import ingest
 from keratoline.sources import dicom, files
 
@@ -212,7 +212,8 @@ def affine_fit_robust(spark, sf_dir):
 
 @query("SELECT o_orderpriority, round(median(o_totalprice), 2) AS mid FROM orders GROUP BY 1")
 def median_by_group(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 2).alias("mid"))
+    found = median.exact_median(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+    return found.select("o_orderpriority", F.round("median", 2).alias("mid"))
 
 
 @query("""WITH c AS (SELECT user_id, event_id, CAST(day(ts) AS BIGINT) AS d, count(*) OVER (PARTITION BY user_id ORDER BY CAST(day(ts) AS BIGINT) RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS members FROM events)

@@ -1,7 +1,7 @@
 """Queries of the page plan, of images and of the ledger side, with the SQL that must give the same rows.
 
-The event stream stands for the items of printed pages: a page is a user and a
-hundred events, texts and positions follow from the event's number.
+The event stream stands for the items of printed pages: a page is a user, or a
+fortieth of a user's events; texts and positions follow from the event's number.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from keratoline.plans import ingest, pages
 from keratoline.sinks import tables
 from keratoline.sources import engines, files
 
+WIDE_PAGE = "CAST(user_id AS VARCHAR)"
 PAGE = "CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 40 AS VARCHAR)"
 NUMBER = "CAST(event_id % 30 + 10 AS VARCHAR) || '.' || CAST(event_id * 7 % 9 + 1 AS VARCHAR)"
 
 
-def _items(text: str, cx: str, cy: str, more: str = "", where: str = "TRUE") -> str:
-    return f"""(SELECT {PAGE} AS page_id, CAST(event_id AS INT) AS ord, {text} AS text, CAST(0.5 + event_id % 50 / 100.0 AS FLOAT) AS confidence,
+def _items(text: str, cx: str, cy: str, more: str = "", where: str = "TRUE", page: str = PAGE) -> str:
+    return f"""(SELECT {page} AS page_id, CAST(event_id AS INT) AS ord, {text} AS text, CAST(0.5 + event_id % 50 / 100.0 AS FLOAT) AS confidence,
   CAST({cx} AS FLOAT) AS cx, CAST({cy} AS FLOAT) AS cy{more} FROM events WHERE {where})"""
 
 
@@ -64,7 +65,7 @@ def page_layouts(spark, sf_dir):
 # --- zones, labels and values on map pages
 
 _MAP = _items(f"CASE event_id * 13 % 7 WHEN 0 THEN 'Cornea Front' WHEN 1 THEN 'CORNEA BACK' WHEN 2 THEN 'True Net Power' WHEN 3 THEN 'Rf:' WHEN 4 THEN 'Pupil Center ::' WHEN 5 THEN 'Astig' ELSE {NUMBER} END",
-              "event_id * 11 % 900", "300 + event_id * 53 % 1800")
+              "event_id * 211 % 1000", "350 + event_id * 7 % 13 * 120 + event_id % 9", page=WIDE_PAGE)
 _READING = f"(SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(CAST(cy AS DOUBLE) / 20) * 20, cx, ord) AS reading FROM {_MAP})"
 _PAGES = f"(SELECT page_id, CASE WHEN length(page_id) % 2 = 0 THEN 2630 END AS height, 'FourMapsRefractive' AS printout_type FROM (SELECT DISTINCT page_id FROM {_MAP}))"
 _HEADS = f"""(SELECT page_id, arg_max(cy, reading) FILTER (f) AS fh, arg_max(cy, reading) FILTER (b AND NOT f) AS bh, arg_max(cy, reading) FILTER (p AND NOT f AND NOT b) AS ph
@@ -107,7 +108,7 @@ def label_claims(spark, sf_dir):
     return pages.claim_labels(reading, pages.zones(reading, _map_pages(spark, sf_dir)))
 
 
-_LAYOUT = [("4MAPS", "Rf_front", 760.0, 300.0), ("4MAPS", "Km_back", 1460.0, 420.0), ("4MAPS", "AC_depth", 1890.0, 640.0)]
+_LAYOUT = [("4MAPS", "Rf_front", 760.0, 300.0), ("4MAPS", "Km_back", 1400.0, 420.0), ("4MAPS", "AC_depth", 1860.0, 640.0)]
 _FITS = f"(SELECT DISTINCT page_id, '4MAPS' AS layout, 1 + CAST(length(page_id) AS DOUBLE) / 128 AS alpha, 12.0 AS beta, 1.0 AS alpha_x, CAST(length(page_id) AS DOUBLE) AS beta_x, length(page_id) AS n_inliers FROM {_MAP})"
 _PLACES = f"""(SELECT page_id, field, CAST(alpha_x * cx_ref + beta_x AS FLOAT) AS px, alpha * cy_ref + beta AS py, n_inliers
  FROM {_FITS} JOIN (VALUES {', '.join(map(str, _LAYOUT))}) l(layout, field, cy_ref, cx_ref) USING (layout))"""
@@ -167,7 +168,7 @@ def axis_tokens(spark, sf_dir):
 
 # --- the ectasia page
 
-_BELIN = _items(f"CASE event_id % 5 WHEN 0 THEN 'K1:' WHEN 1 THEN 'Pachy Thin.' WHEN 2 THEN 'QS' WHEN 3 THEN '-' || {NUMBER} || ' D' ELSE CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'Suspect' ELSE '+' || {NUMBER} END END", "event_id * 11 % 900", "200 + event_id * 53 % 1100")
+_BELIN = _items(f"CASE event_id % 5 WHEN 0 THEN 'K1:' WHEN 1 THEN 'Pachy Thin.' WHEN 2 THEN 'QS' WHEN 3 THEN '-' || {NUMBER} || ' D' ELSE CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'Suspect' ELSE '+' || {NUMBER} END END", "event_id * 211 % 1000", "200 + event_id * 7 % 13 * 80 + event_id % 9", page=WIDE_PAGE)
 
 
 @query(f"""WITH i AS (SELECT *, CASE WHEN text = 'K1:' THEN 'Belin_K1' WHEN text LIKE 'Pachy%' THEN 'Belin_PachyThin' WHEN text = 'QS' THEN 'Belin_QS' END AS field, CASE WHEN text = 'K1:' THEN 250 WHEN text = 'QS' THEN 250 ELSE 700 END AS reach FROM {_BELIN}),

@@ -8,7 +8,7 @@ partition and nothing else is shuffled.
 
 from __future__ import annotations
 
-from itertools import combinations, islice
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -243,34 +243,95 @@ def claim_belin(items: DataFrame) -> DataFrame:
 
 
 SCORE_LABEL = r"(?i)^D[a-z]?\s*:"
-CHOICES = 20_000  # looked at together
+SLOTS, LEAST, LOST, OFF = 6, 4, 200.0, 35.0  # of a template; that must be taken; what a slot left out costs; how far a label may be off
+SCALES = (0.85, 1.15)
+HELD = 200_000  # choices that are looked at together
+
+
+def _line(ts: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scale, offset, residuals) of the least-squares line of each row of xs over ts."""
+    mt, mx = ts.mean(), xs.mean(1, keepdims=True)
+    scale = ((xs - mx) @ (ts - mt)) / ((ts - mt) ** 2).sum()
+    offset = mx[:, 0] - scale * mt
+    return scale, offset, xs - (scale[:, None] * ts + offset[:, None])
+
+
+def _guess(at: np.ndarray, ts: np.ndarray) -> float:
+    """The squares' sum of a good choice for these slots, or infinity: of lines through two labels with the nearest label for each other slot."""
+    i, j = np.triu_indices(len(at), 1)
+    scale = (at[j] - at[i]) / (ts[-1] - ts[0])
+    fit = (scale >= SCALES[0]) & (scale <= SCALES[1])
+    i, j, scale = i[fit], j[fit], scale[fit]
+    if not len(i):
+        return np.inf
+    wanted = at[i][:, None] + scale[:, None] * (ts - ts[0])
+    right = np.clip(np.searchsorted(at, wanted), 1, len(at) - 1)
+    near = right - (wanted - at[right - 1] < at[right] - wanted)
+    near[:, 0], near[:, -1] = i, j
+    near = near[(np.diff(near, axis=1) > 0).all(1)]
+    scale, _, off = _line(ts, at[near]) if len(near) else (np.empty(0),) * 3
+    sound = (scale >= SCALES[0]) & (scale <= SCALES[1]) & (np.abs(off).max(1) <= OFF) if len(near) else np.empty(0, bool)
+    return (off[sound] ** 2).sum(1).min() if sound.any() else np.inf
+
+
+def _best_choice(at: np.ndarray, ts: np.ndarray, most: float) -> tuple[float, float, float] | None:
+    """(squares' sum, scale, offset) of the best choice of labels for these slots, if its squares' sum is below `most`.
+
+    Slots are filled from left to right. The next label lies where scale and
+    residuals can still be sound, and a choice so far whose own line leaves more
+    than `most` goes, as more labels never leave less.
+    """
+    best: tuple[float, float, float] | None = None
+    stack = [np.arange(len(at))[:, None]]
+    while stack:
+        chosen = stack.pop()
+        n = chosen.shape[1]
+        if n == len(ts):
+            scale, offset, off = _line(ts, at[chosen])
+            left = (off**2).sum(1)
+            left[(scale < SCALES[0]) | (scale > SCALES[1]) | (np.abs(off).max(1) > OFF)] = np.inf
+            i = left.argmin()
+            if left[i] < most:
+                most = left[i]
+                best = (float(left[i]), float(scale[i]), float(offset[i]))
+            continue
+        apart, last = ts[n] - ts[n - 1], at[chosen[:, -1]]
+        begin = np.maximum(np.searchsorted(at, last + SCALES[0] * apart - 2 * OFF), chosen[:, -1] + 1)
+        count = np.maximum(np.searchsorted(at, last + SCALES[1] * apart + 2 * OFF, "right") - begin, 0)
+        if count.sum() > HELD and len(chosen) > 1:
+            stack += [chosen[len(chosen) // 2 :], chosen[: len(chosen) // 2]]
+            continue
+        own = np.repeat(np.arange(len(chosen)), count)
+        label = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + begin[own]
+        longer = np.concatenate([chosen[own], label[:, None]], 1)
+        if n >= 2 and len(longer):
+            longer = longer[(_line(ts[: n + 1], at[longer])[2] ** 2).sum(1) < most]
+        if len(longer):
+            stack.append(longer)
+    return best
 
 
 def assign_scores(at: np.ndarray) -> tuple[float, float, tuple[float, ...]] | None:
     """(scale, offset, template) of the best fit of label positions, ascending, to a spacing template.
 
-    All ordered choices of at least four labels and as many of the six slots are
-    tried; a missing slot costs 200. Choices of labels go in batches, so a row
-    of many labels takes time but no more memory.
+    The choice of at least four labels and as many slots that has the smallest
+    mean square with 200 for each missing slot; the same as by trying all. Whole
+    rows come first, and no choice with a slot less can beat one below its cost.
+    Time grows with the square of the number of labels, not with all choices.
     """
     best, found = np.inf, None
-    for template in dims.SCORE_TEMPLATES:
-        slots = np.array(template)
-        for k in range(4, min(len(at), 6) + 1):
-            ts = slots[np.array(list(combinations(range(6), k)))][None, :, :]
-            labels = combinations(range(len(at)), k)
-            while chosen := list(islice(labels, CHOICES)):
-                xs = at[np.array(chosen)][:, None, :]
-                mt, mx = ts.mean(2, keepdims=True), xs.mean(2, keepdims=True)
-                spread = ((ts - mt) ** 2).sum(2)
-                scale = ((ts - mt) * (xs - mx)).sum(2) / spread
-                offset = mx[..., 0] - scale * mt[..., 0]
-                off = xs - (scale[..., None] * ts + offset[..., None])
-                score = (off**2).mean(2) + (6 - k) * 200.0
-                score[(scale < 0.85) | (scale > 1.15) | (np.abs(off).max(2) > 35)] = np.inf
-                i = np.unravel_index(score.argmin(), score.shape)
-                if score[i] < best:
-                    best, found = score[i], (float(scale[i]), float(offset[i]), template)
+    for k in range(min(len(at), SLOTS), LEAST - 1, -1):
+        lost = (SLOTS - k) * LOST
+        for template in dims.SCORE_TEMPLATES:
+            for slots in combinations(template, k):
+                if best <= lost:
+                    return found
+                ts = np.array(slots)
+                most = min((best - lost) * k, k * OFF**2 * (1 + 1e-9))
+                guess = _guess(at, ts)
+                choice = _best_choice(at, ts, min(most, guess * (1 + 1e-9) + 1e-9))
+                if choice and choice[0] / k + lost < best:
+                    best, found = choice[0] / k + lost, (choice[1], choice[2], template)
     return found
 
 

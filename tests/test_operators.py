@@ -7,8 +7,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from keratoline import dims
-from keratoline.operators import filters, joins, ranking, regress, resolve
+from keratoline.operators import filters, joins, median, ranking, regress, resolve
 
 M = "ord long, visit_id string, source_type string, field string, value double, conf float"
 
@@ -147,3 +149,16 @@ def test_long_form_takes_numbers_as_they_are(spark):
     df = spark.createDataFrame([("k", 1e-7, "2.5", float("nan"), 0.5), ("l", 1e12, "x", 3.0, None)], "k string, a double, b string, c double, a_Paddle_conf double")
     got = {(r.k, r.field): (r.value, round(r.conf, 3)) for r in resolve.to_long(df, ["k"], ["a", "b", "c"]).collect()}
     assert got == {("k", "a"): (1e-7, 0.5), ("k", "b"): (2.5, 0.0), ("l", "a"): (1e12, 0.0), ("l", "c"): (3.0, 0.0)}
+
+
+def test_median_of_groups_of_any_size(spark):
+    """A hot group, ties, even and odd sizes, values far apart, nulls; with little held, so several rounds are needed."""
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in rng.normal(0, 1, 3001)] + [("even", float(v)) for v in rng.uniform(0, 9, 500)] + [("same", 4.0)] * 700 + [("two", 1.0)] * 300 + [("two", 2.0)] * 300
+    rows += [("far", float(10.0 ** e)) for e in range(-150, 150)] + [(None, 1.0), (None, 5.0), ("none", None), ("odd", float("nan")), ("odd", 3.0)] + [("few", 1.0), ("few", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    want = {r.g: r.m for r in df.where("not isnan(v)").groupBy("g").agg(F.median("v").alias("m")).collect()}
+    for held, accuracy in ((10**6, 10_000), (50, 200), (20, 10_000)):
+        got = {r.g: r.median for r in median.exact_median(df, ["g"], "v", held, accuracy).collect()}
+        assert got == pytest.approx({g: m for g, m in want.items() if m is not None})
+    assert median.exact_median(df.limit(0), ["g"], "v").count() == 0

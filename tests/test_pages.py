@@ -1,5 +1,7 @@
 """Synthetic pages: fields are laid out by a made-up layout, moved by an affine map, and must be found again."""
 
+import itertools
+import time
 
 import numpy as np
 import pytest
@@ -127,13 +129,50 @@ def test_score_assignment_prefers_full_rows():
     assert pages.assign_scores(np.array([0.0, 50, 100, 150])) is None
 
 
+def by_trying_all(at):
+    """The same by all ordered choices of labels and slots."""
+    best, found = np.inf, None
+    for template in dims.SCORE_TEMPLATES:
+        for k in range(4, min(len(at), 6) + 1):
+            for slots in itertools.combinations(template, k):
+                for labels in itertools.combinations(at, k):
+                    ts, xs = np.array(slots), np.array(labels)
+                    scale = ((ts - ts.mean()) * (xs - xs.mean())).sum() / ((ts - ts.mean()) ** 2).sum()
+                    offset = xs.mean() - scale * ts.mean()
+                    off = xs - (scale * ts + offset)
+                    score = (off**2).mean() + (6 - k) * 200.0
+                    if 0.85 <= scale <= 1.15 and abs(off).max() <= 35 and score < best - 1e-9:
+                        best, found = score, (scale, offset, template)
+    return found
+
+
+def test_score_assignment_is_that_of_trying_all():
+    rng = np.random.default_rng(4)
+    some = 0
+    for n in [*range(4, 9)] * 4 + [10]:
+        template = np.array(dims.SCORE_TEMPLATES[n % 2])[np.sort(rng.choice(6, min(n, rng.integers(3, 7)), False))]
+        at = np.sort(np.concatenate([template * rng.uniform(0.83, 1.17) + rng.uniform(0, 90) + rng.normal(0, 9, len(template)), rng.uniform(0, 1500, n - len(template))]))
+        want, got = by_trying_all(at), pages.assign_scores(at)
+        assert (want is None) == (got is None)
+        if want:
+            some += 1
+            assert got[:2] == pytest.approx(want[:2]) and got[2] == want[2]
+    assert some > 8
+
+
 def test_score_assignment_among_many_labels(monkeypatch):
     at = np.array([0.0, 272, 498, 730, 966, 1304]) + 60
     every = np.sort(np.concatenate([at, [5.0, 130, 391, 640, 855, 1111, 1240, 1501]]))
     scale, offset, template = pages.assign_scores(every)
     assert (scale, offset) == pytest.approx((1.0, 60.0)) and template == dims.SCORE_TEMPLATES[0]
-    monkeypatch.setattr(pages, "CHOICES", 100)
+    monkeypatch.setattr(pages, "HELD", 50)
     assert pages.assign_scores(every) == (scale, offset, template)
+    monkeypatch.undo()
+    for seed in range(3):
+        many = np.sort(np.random.default_rng(seed).uniform(0, 3500, 500))
+        began = time.perf_counter()
+        assert pages.assign_scores(many) is not None and time.perf_counter() - began < 5  # under a second where nothing else runs
+    assert pages.assign_scores(np.full(300, 7.0)) is None
 
 
 def test_unknown_pages_are_rejected_and_types_ordered(spark, run):
