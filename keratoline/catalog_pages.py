@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keratoline.catalog import query, table
-from keratoline.operators import ranking, resolve
-from keratoline.plans import ingest, pages
+from keratoline import dims
+from keratoline.catalog import ORACLE, query, table
+from keratoline.operators import ranking, regress, resolve
+from keratoline.plans import ingest, maps, pages
 from keratoline.sinks import tables
 from keratoline.sources import engines, files
 
@@ -93,8 +94,8 @@ _LABELS = f"""(SELECT * FROM (SELECT r.*, CASE WHEN k = 'rf' AND cy BETWEEN fron
   WHEN k = 'astig' AND cy BETWEEN front_lo AND front_hi THEN 'Astig_front' WHEN k = 'pupil center' AND cy BETWEEN 1500 AND 2700 THEN 'PupilCenter' END AS field
   FROM (SELECT *, trim(regexp_replace(lower(text), ':+$', '')) AS k FROM {_READING}) r JOIN {_ZONES} USING (page_id)) WHERE field IS NOT NULL)"""
 _CLAIMS = f"""WITH p AS (SELECT l.page_id, l.field, l.reading, l.field = 'PupilCenter' AS triple, CASE WHEN l.field = 'PupilCenter' AND l.cy > 1490 AND l.cy <= 2000 THEN 700 ELSE 1100 END AS cap,
-  CAST(v.text AS DOUBLE) AS value, v.confidence AS conf, v.cx, v.cy, v.text AS raw_text, v.reading AS v_reading
-  FROM {_LABELS} l JOIN {_READING} v ON v.page_id = l.page_id AND regexp_matches(v.text, '^[0-9.]+$') AND abs(v.cy - l.cy) < 25 AND v.cx > l.cx AND v.cx - l.cx < CASE WHEN l.field = 'PupilCenter' THEN 800 ELSE 500 END
+  CASE WHEN regexp_matches(v.text, '[oO]') THEN 0.0 ELSE CAST(v.text AS DOUBLE) END AS value, v.confidence AS conf, v.cx, v.cy, v.text AS raw_text, v.reading AS v_reading
+  FROM {_LABELS} l JOIN {_READING} v ON v.page_id = l.page_id AND regexp_matches(v.text, '^[0-9.]+$|[oO]') AND abs(v.cy - l.cy) < 25 AND v.cx > l.cx AND v.cx - l.cx < CASE WHEN l.field = 'PupilCenter' THEN 800 ELSE 500 END
   AND v.cx < CASE WHEN l.field = 'PupilCenter' THEN 1100 ELSE 1100 END),
  k AS (SELECT *, row_number() OVER (PARTITION BY page_id, field, reading ORDER BY cx, v_reading) AS i FROM p),
  m AS (SELECT page_id, field, reading, min(i) AS pos, row_number() OVER (PARTITION BY page_id, field ORDER BY reading) AS nth FROM k WHERE cx < cap AND NOT (triple AND value = 0) GROUP BY 1, 2, 3)
@@ -104,6 +105,7 @@ _CLAIMS = f"""WITH p AS (SELECT l.page_id, l.field, l.reading, l.field = 'PupilC
 
 @query(_CLAIMS)
 def label_claims(spark, sf_dir):
+    """A letter o is read as a nought, so words with one are values too, as the rules for misreadings have it."""
     reading = _reading(spark, sf_dir)
     return pages.claim_labels(reading, pages.zones(reading, _map_pages(spark, sf_dir)))
 
@@ -333,3 +335,143 @@ def readings_chosen(spark, sf_dir):
 def codes_in_one_text(spark, sf_dir):
     codes = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("code")).agg(F.count("*").cast("double").alias("value"))
     return tables.flat_codes(codes)
+
+
+# --- fits, layouts and the ectasia page as a whole
+
+_SHAPES = [(n, f, y, 100.0) for n, ys in (("4MAPS", (800, 1000, 1200, 1400, 1600, 2250)), ("4MAPS_TALL", (800, 1012, 1190, 1420, 1588, 2240))) for f, y in zip(("Rf_front", "Rs_front", "K1_front", "K2_front", "Km_front", "CorneaVol"), map(float, ys), strict=True)]
+_SHAPED = f"""(SELECT DISTINCT CAST(user_id AS VARCHAR) AS page_id, CASE WHEN user_id % 5 = 0 THEN 2630 END AS height, field, CAST(cy_ref + (user_id * 7 + event_id % 6 * 3) % 5 AS FLOAT) AS cy FROM events
+  JOIN (VALUES {', '.join(str((n, i % 6, f, y)) for i, (n, f, y, _) in enumerate(_SHAPES))}) s(layout, slot, field, cy_ref) ON slot = event_id % 6 AND layout = CASE WHEN user_id % 2 = 0 THEN '4MAPS' ELSE '4MAPS_TALL' END)"""
+
+
+@query(f"""WITH p AS (SELECT s.page_id, s.height, l.layout, s.field, CAST(s.cy AS DOUBLE) AS y, l.cy_ref AS x FROM {_SHAPED} s JOIN (VALUES {', '.join(map(str, _SHAPES))}) l(layout, field, cy_ref, cx_ref) USING (field)),
+ f AS (SELECT page_id, layout, var_pop(y) - pow(covar_pop(y, x), 2) / var_pop(x) AS off FROM p GROUP BY 1, 2), v AS (SELECT page_id, max(height) AS height, max(y) FILTER (field = 'CorneaVol') AS vol FROM p GROUP BY 1)
+ SELECT page_id, CASE WHEN height BETWEEN 2620 AND 2650 OR height IS NULL AND vol > 2200 AND t.off < m.off THEN '4MAPS_TALL' ELSE '4MAPS' END AS layout FROM v JOIN f t USING (page_id) JOIN f m USING (page_id) WHERE t.layout = '4MAPS_TALL' AND m.layout = '4MAPS'""")
+def layouts_by_fit(spark, sf_dir):
+    shaped = _frame(spark, sf_dir, _SHAPED)
+    located = shaped.select("page_id", "field", "cy", F.lit(100.0).cast("float").alias("cx"))
+    told = shaped.select("page_id", F.lit("FourMapsRefractive").alias("printout_type"), "height").distinct()
+    return pages.choose_layout(located, told, pages.layout_frame(spark, _SHAPES)).select("page_id", "layout")
+
+
+_BELIN_LAYOUT = [("BELIN", "Belin_K2", 360.0, 300.0), ("BELIN", "Belin_Axis", 600.0, 640.0), ("BELIN", "Belin_K1", 840.0, 200.0)]
+
+
+@query(f"""WITH c AS ({ORACLE['ectasia_claims']}),
+ n AS (SELECT i.*, try_cast(regexp_extract(text, '[-+]?[0-9]+\\.?[0-9]*') AS DOUBLE) AS value FROM {_BELIN} i),
+ p AS (SELECT n.page_id, f.field, value, confidence AS conf, cx, cy, text AS raw_text, row_number() OVER (PARTITION BY n.page_id, f.field ORDER BY sqrt(pow(cy - cy_ref, 2) + pow(cx - cx_ref, 2)), ord) AS rn
+  FROM n JOIN (VALUES {', '.join(map(str, _BELIN_LAYOUT))}) f(layout, field, cy_ref, cx_ref) ON cy - cy_ref BETWEEN -35 AND 35 AND abs(cx - cx_ref) <= 65 WHERE value IS NOT NULL AND (n.page_id, f.field) NOT IN (SELECT (page_id, field) FROM c))
+ SELECT page_id, field, value, conf, cx, cy, raw_text FROM c UNION ALL SELECT page_id, field, CAST(value AS DOUBLE), conf, cx, cy, raw_text FROM p WHERE rn = 1""")
+def ectasia_page(spark, sf_dir):
+    """Labels, then places: fewer than five pairs leave the layout where it is."""
+    items = _frame(spark, sf_dir, _BELIN)
+    return pages.locate_on_belin(items, items.select("page_id").distinct(), pages.layout_frame(spark, _BELIN_LAYOUT))
+
+
+_SLOT_X = "CASE CAST(floor(event_id / 3) AS BIGINT) % 6 " + " ".join(f"WHEN {i} THEN CASE WHEN user_id % 2 = 0 THEN {a} ELSE {b} END" for i, (a, b) in enumerate(zip(*(map(int, t) for t in dims.SCORE_TEMPLATES), strict=True))) + " END"
+_SCORES = _items(f"CASE WHEN event_id % 3 = 0 THEN 'D' || substr('fbpta', CAST(event_id % 5 + 1 AS INT), 1) || ':' ELSE CAST(event_id % 7 AS VARCHAR) || '.5' END", f"100 + {_SLOT_X} + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 25 + event_id % 120 END", "2400 + event_id % 4", page=WIDE_PAGE)
+
+
+@query(f"""WITH i AS {_SCORES}, l AS (SELECT page_id FROM i WHERE text LIKE 'D%' GROUP BY 1 HAVING count(DISTINCT cx) = 6),
+ s AS (SELECT page_id, field, 100.0 + CASE WHEN CAST(page_id AS BIGINT) % 2 = 0 THEN a ELSE b END AS x FROM l, (VALUES {', '.join(str(x) for x in zip(dims.SCORE_FIELDS, *dims.SCORE_TEMPLATES, strict=True))}) t(field, a, b)),
+ p AS (SELECT s.page_id, field, CAST(text AS DOUBLE) AS value, confidence AS conf, cx, cy, text AS raw_text, row_number() OVER (PARTITION BY s.page_id, field ORDER BY abs(CAST(cx AS DOUBLE) - x), ord) AS rn FROM s JOIN i ON i.page_id = s.page_id AND text NOT LIKE 'D%' AND cx - x BETWEEN -20 AND 200)
+ SELECT page_id, field, value, conf, cx, cy, raw_text FROM p WHERE rn = 1""")
+def score_row(spark, sf_dir):
+    """Pages on which all six labels stand, exactly spaced; several stand on one another."""
+    items = _frame(spark, sf_dir, _SCORES)
+    whole = items.where("text LIKE 'D%'").groupBy("page_id").agg(F.count_distinct("cx").alias("n")).where("n = 6").select("page_id")
+    return pages.claim_scores(items.join(whole, "page_id"))
+
+
+# --- where maps are
+
+_KIND = "CASE user_id % 3 WHEN 0 THEN 'FourMapsRefractive' WHEN 1 THEN 'BelinAmbrosio' ELSE CASE user_id % 2 WHEN 0 THEN 'Other(\"Refractive (old layout)\")' ELSE 'TopometricKcStaging' END END"
+_MARKED = _items("CASE event_id * 13 % 11 WHEN 0 THEN 'Axial Curvature (Front)' WHEN 1 THEN 'Elevation (Front)' WHEN 2 THEN 'Corneal Thickness' WHEN 3 THEN 'Elevation (Back)' WHEN 4 THEN 'Curvature' WHEN 5 THEN 'Fixed' ELSE 'x' END",
+                 "event_id * 211 % 2400", "event_id * 7 % 100 * 24", where="event_id % 4 <> 1", page=WIDE_PAGE)
+_SHEETS = f"(SELECT DISTINCT CAST(user_id AS VARCHAR) AS page_id, {_KIND} AS printout_type, 3000 AS width, 2400 AS height FROM events)"
+_first_at = lambda text, rule: f"arg_min(CAST(cx AS DOUBLE), ord) FILTER (text = '{text}' AND {rule}) AS {{0}}_x, arg_min(CAST(cy AS DOUBLE), ord) FILTER (text = '{text}' AND {rule}) AS {{0}}_y"
+_PLACED = ", ".join(_first_at(t, r).format(n) for n, t, r in (
+    ("curv", "Axial Curvature (Front)", "cy <= 1680"), ("elev_f", "Elevation (Front)", "cy <= 1680"), ("thick", "Corneal Thickness", "cy <= 1680"), ("elev_b", "Elevation (Back)", "cy <= 1680"),
+    ("word", "Curvature", "cy <= 1680"), ("ef", "Elevation (Front)", "cy <= 600"), ("eb", "Elevation (Back)", "cy <= 600"), ("fixed", "Fixed", "cy > 1680")))
+_ANCHORS = f"""(SELECT page_id, kind, {_PLACED} FROM {_MARKED} JOIN (SELECT page_id, CASE WHEN printout_type = 'FourMapsRefractive' THEN 'maps' WHEN printout_type = 'BelinAmbrosio' THEN 'belin' END AS kind FROM {_SHEETS}) USING (page_id) WHERE kind IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"SELECT page_id, kind, curv_x, curv_y, thick_x, least(curv_y, elev_f_y) AS top_cy, least(thick_y, elev_b_y) AS low_cy, coalesce(ef_y, eb_y) AS first_cy, word_x, fixed_y FROM {_ANCHORS}")
+def map_anchors(spark, sf_dir):
+    found = maps.anchors(_frame(spark, sf_dir, _MARKED), _frame(spark, sf_dir, _SHEETS))
+    return found.select("page_id", F.col("set").alias("kind"), F.col("curv.cx").alias("curv_x"), F.col("curv.cy").alias("curv_y"), F.col("thick.cx").alias("thick_x"), "top_cy", "low_cy", "first_cy", F.col("curv_word.cx").alias("word_x"), F.col("fixed.cy").alias("fixed_y"))
+
+
+_EDGES = "(SELECT DISTINCT CAST(user_id AS VARCHAR) AS page_id, CASE WHEN user_id % 2 = 0 THEN 'maps_right' ELSE 'belin_left' END AS scan, CAST(user_id % 50 AS INT) AS \"first\", CAST(2500 + user_id % 400 AS INT) AS \"last\" FROM events WHERE user_id % 7 <> 0)"
+
+
+@query(f"""WITH a AS (SELECT n.*, e.first AS ink, e.last AS ends, e.scan, least(curv_y, elev_f_y) AS top0, least(thick_y, elev_b_y) AS low0, coalesce(ef_y, eb_y) AS f0 FROM {_ANCHORS} n LEFT JOIN {_EDGES} e USING (page_id)),
+ b AS (SELECT page_id, '4mr_all' AS name, coalesce(word_x - 90, least(curv_x, elev_f_x, thick_x, elev_b_x) - 680) AS x0, top0 - 15 AS y0, CASE WHEN scan = 'maps_right' THEN least(ends + 15, 3000) ELSE 3000 END AS x1, least(2 * coalesce(low0, top0 + 960.0) - top0 - 30, 2390.0) AS y1 FROM a WHERE kind = 'maps' AND top0 IS NOT NULL
+  UNION ALL SELECT page_id, 'belin_left', CASE WHEN scan = 'belin_left' THEN greatest(ink - 5, 0) ELSE 0 END, f0 - 25, coalesce(eb_x + (eb_x - ef_x) / 2, eb_x + 400, ef_x + 1200), CASE WHEN fixed_y IS NULL THEN 2304.0 ELSE least(fixed_y + 70, 2390.0) END FROM a WHERE kind = 'belin' AND f0 IS NOT NULL),
+ r AS (SELECT page_id, name, CAST(floor(greatest(0, x0)) AS INT) AS x, CAST(floor(greatest(0, y0)) AS INT) AS y, CAST(floor(greatest(0, x1)) AS INT) AS x1, CAST(floor(greatest(0, y1)) AS INT) AS y1 FROM b)
+ SELECT page_id, name, x, y, x1 - x AS width, y1 - y AS height FROM r WHERE x1 > x AND y1 > y""")
+def map_regions(spark, sf_dir):
+    """Boxes of the four maps, where a top anchor stands, and of the elevation maps."""
+    found = maps.anchors(_frame(spark, sf_dir, _MARKED), _frame(spark, sf_dir, _SHEETS)).where("top_cy IS NOT NULL OR `set` = 'belin'")
+    edges = table(spark, sf_dir, "events").where("user_id % 7 <> 0").select(
+        F.col("user_id").cast("string").alias("page_id"), F.when(F.col("user_id") % 2 == 0, "maps_right").otherwise("belin_left").alias("scan"), (F.col("user_id") % 50).cast("int").alias("first"), (F.col("user_id") % 400 + 2500).cast("int").alias("last")
+    ).distinct()
+    return maps.regions(found, edges).where("name IN ('4mr_all', 'belin_left')")
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'maps' WHEN 1 THEN 'maps' WHEN 2 THEN NULL WHEN 3 THEN 'belin' WHEN 4 THEN 'belin' END AS kind FROM events""")
+def map_sets(spark, sf_dir):
+    kinds = ("FourMapsRefractive", 'Other("Refractive (gen1)")', 'Other("Refractive (old layout)")', "BelinAmbrosio", "Belin Enhanced Ectasia", "BelinAbcdProgression", "Fourier")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", maps.map_set(kind).alias("kind"))
+
+
+# --- rows by kind of file, thresholds by field, both axes of a fit
+
+@query("""WITH e AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'dcm' WHEN 1 THEN 'pdf' ELSE 'image' END AS kind, CASE event_id % 5 WHEN 0 THEN 'Fourier' WHEN 1 THEN 'BelinAmbrosio' WHEN 2 THEN 'Holladay' ELSE 'FourMapsRefractive' END AS printout_type FROM events)
+ SELECT CAST(event_id AS VARCHAR) AS path, CAST(event_id % 2 + 1 AS INT) AS page_number, printout_type, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 50 AS DOUBLE) END AS "Kmax", CASE kind WHEN 'dcm' THEN 'known' ELSE '' END AS id, CAST(event_id % 2 + 2 AS INT) AS event
+ FROM e WHERE kind = 'pdf' OR printout_type IN ('BelinAmbrosio', 'FourMapsRefractive')""")
+def page_rows_by_kind(spark, sf_dir):
+    """Documents that stand alone give rows of all page types and no identity, other files rows of supported types."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(
+        i, i.cast("string").alias("path"), i.cast("string").alias("page_id"), (i % 2 + 1).cast("int").alias("page_number"), F.element_at(F.array(*map(F.lit, ("dcm", "pdf", "image"))), (i % 3 + 1).cast("int")).alias("kind"),
+        F.element_at(F.array(*map(F.lit, ("Fourier", "BelinAmbrosio", "Holladay", "FourMapsRefractive", "FourMapsRefractive"))), (i % 5 + 1).cast("int")).alias("printout_type"),
+    )
+    bare = ingest.bare_rows(e)
+    base = bare.join(e.select("path", "kind"), "path").withColumn("id", F.when(F.col("kind") == "dcm", "known").otherwise(F.col("id"))).drop("kind")
+    told = e.select("page_id", "printout_type", F.lit("ok").alias("qa_status"), F.lit(1).alias("n_fields"))
+    located = e.where("event_id % 4 <> 0").select("page_id", F.lit("Kmax").alias("field"), (i % 50).cast("double").alias("value"), F.lit(0.9).cast("float").alias("conf"))
+    numbered = e.select("page_id", "path", "page_number", (F.col("kind") != "pdf").alias("supported_only"))
+    return ingest.page_rows(base, told, located, numbered, F.col("supported_only")).select("path", "page_number", "printout_type", "Kmax", "id", "event")
+
+
+_FLAGGED = """(SELECT user_id AS visit_id, event_id AS ord, CASE event_id % 3 WHEN 0 THEN 'Belin_Df' WHEN 1 THEN 'Kmax' ELSE 'PachyVertex' END AS field, CASE WHEN CAST(floor(event_id / 3) AS BIGINT) % 2 = 0 THEN 'SR' ELSE 'FourMapsRefractive' END AS source_type,
+ 10.0 + CAST(floor(event_id / 3) AS BIGINT) % 7 * CASE event_id % 3 WHEN 2 THEN 0.9 ELSE 0.03 END AS value FROM events)"""
+
+
+@query(f"""SELECT visit_id, field, coalesce(abs(arg_min(value, ord) FILTER (source_type = 'SR') - arg_max(value, ord) FILTER (source_type <> 'SR')) > CASE field WHEN 'Belin_Df' THEN 0.02 WHEN 'PachyVertex' THEN 2.0 ELSE 0.1 END, false) AS mismatch FROM {_FLAGGED} GROUP BY 1, 2""")
+def mismatch_by_field(spark, sf_dir):
+    rows = _frame(spark, sf_dir, _FLAGGED).select("visit_id", "ord", "field", "source_type", F.col("value").cast("double").alias("value"), F.lit(0.9).cast("float").alias("conf"))
+    return resolve.best_values(rows).select("visit_id", "field", (F.col("flag") == "SR_OCR_MISMATCH").alias("mismatch"))
+
+
+@query("""SELECT l_returnflag, round(regr_slope(l_extendedprice / 100, l_quantity), 4) AS alpha_x, round(regr_intercept(l_extendedprice / 100, l_quantity), 4) AS beta_x, round(median(l_extendedprice / 100 - l_quantity), 4) AS delta_x, round(regr_slope(l_tax, l_discount), 6) AS alpha, count(*) AS n_inliers FROM lineitem GROUP BY 1""")
+def affine_fit_two_axes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("x", F.col("l_extendedprice") / 100)
+    out = regress.affine_fit(rows, ["l_returnflag"], "l_tax", "l_discount", "x", "l_quantity", limit=10000.0)
+    return out.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("alpha_x", "beta_x", "delta_x")], F.round("alpha", 6).alias("alpha"), "n_inliers")
+
+
+_WHOLE_HEADER = _items("CASE event_id * 5 % 9 WHEN 0 THEN 'Last Name:' WHEN 1 THEN 'First Name:' WHEN 2 THEN 'PAT-ID:' WHEN 3 THEN 'Date of Birth:' WHEN 4 THEN 'Exam Date:' WHEN 5 THEN 'Time:' WHEN 6 THEN 'Eye:' WHEN 7 THEN CAST(event_id % 12 + 1 AS VARCHAR) || '/' || CAST(event_id % 28 + 1 AS VARCHAR) || '/' || CAST(event_id % 70 + 1930 AS VARCHAR) ELSE CASE event_id % 2 WHEN 0 THEN 'Left eye' ELSE 'RIGHT' END END",
+                       "event_id * 211 % 1000", "60 + event_id * 7 % 13 * 30 + event_id % 9", page=WIDE_PAGE)
+_DATE_OF = "CASE WHEN {0} LIKE '%/%/%' THEN split_part({0}, '/', 3) || lpad(split_part({0}, '/', 1), 2, '0') || lpad(split_part({0}, '/', 2), 2, '0') ELSE {0} END"
+
+
+@query(f"""WITH i AS (SELECT *, CASE lower(text) WHEN 'last name:' THEN 'last' WHEN 'first name:' THEN 'first' WHEN 'pat-id:' THEN 'id' WHEN 'date of birth:' THEN 'dob' WHEN 'exam date:' THEN 'date' WHEN 'time:' THEN 'time' WHEN 'eye:' THEN 'eye' END AS what FROM {_WHOLE_HEADER}),
+ n AS (SELECT l.page_id, l.ord, l.what, v.text AS v, row_number() OVER (PARTITION BY l.page_id, l.ord ORDER BY v.cx - l.cx, v.ord) AS rn FROM i l JOIN i v ON v.page_id = l.page_id AND abs(v.cy - l.cy) < 20 AND v.cx - l.cx > 50 AND v.cx - l.cx < 500 WHERE l.what IS NOT NULL),
+ p AS (SELECT page_id, {', '.join(f"arg_max(v, ord) FILTER (what = '{w}') AS {w}_" for w in ('last', 'first', 'id', 'dob', 'date', 'time', 'eye'))}, max(ord) FILTER (what = 'last') AS la, max(ord) FILTER (what = 'first') AS fa FROM n WHERE rn = 1 GROUP BY 1)
+ SELECT page_id, CASE WHEN last_ IS NOT NULL AND (first_ IS NULL OR la > fa) THEN last_ WHEN first_ IS NOT NULL THEN coalesce(last_, '') || '^' || first_ END AS patient_name, id_ AS patient_id, {_DATE_OF.format('dob_')} AS date_of_birth, {_DATE_OF.format('date_')} AS exam_date,
+  regexp_replace(time_, '[:.]', '', 'g') AS exam_time, CASE WHEN upper(eye_) LIKE '%RIGHT%' THEN 'OD' WHEN upper(eye_) LIKE '%LEFT%' THEN 'OS' END AS eye FROM p""")
+def header_of_pages(spark, sf_dir):
+    return pages.demographics(_frame(spark, sf_dir, _WHOLE_HEADER))

@@ -46,7 +46,7 @@ def nearest(pairs: DataFrame, group: Sequence[str], distance: Column, tie: Seque
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, group: Sequence[str], order: str) -> DataFrame:
     """Joins a small table and keeps, of each group, the row that stands first in the table."""
-    return first_by(rows.join(F.broadcast(table), rows[key] == table[table_key]), group, [order])
+    return first_by(rows.join(small(table), rows[key] == table[table_key]), group, [order])
 
 
 def not_in_ledger(rows: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
