@@ -93,15 +93,17 @@ class Index:
 def build_index(sample: np.ndarray, n: int, threshold: float) -> Index:
     """Codebooks for n rows, and as many cells to visit as find RECALL of pairs.
 
-    The pairs are the sample's own above the threshold, and for each sampled
-    vector one at exactly the threshold in a random direction, the hardest case.
+    The last third of the sample has no part in the codebooks. The pairs are
+    those of its vectors above the threshold, and for each of them one at
+    exactly the threshold in a random direction, the hardest case.
     """
     half = sample.shape[1] // 2
-    k = int(min(MOST_WORDS, max(1, len(sample) // 4), max(2, round((n / CELL_ROWS) ** 0.5))))
-    words = codebook(sample[:, :half], k), codebook(sample[:, half:], k)
+    fitted = sample[: len(sample) - len(sample) // 3]
+    k = int(min(MOST_WORDS, max(1, len(fitted) // 4), max(2, round((n / CELL_ROWS) ** 0.5))))
+    words = codebook(fitted[:, :half], k), codebook(fitted[:, half:], k)
     index = Index(*words, 1, np.inf)
     rng = np.random.default_rng(1)
-    some = sample[rng.permutation(len(sample))[:512]]
+    some = (sample[len(fitted) :] if len(sample) > 2 else sample)[:1024]
     turn = rng.standard_normal(some.shape)
     turn -= (turn * some).sum(1)[:, None] * some
     turn /= np.maximum(np.linalg.norm(turn, axis=1), 1e-12)[:, None]
@@ -126,9 +128,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     component_id). Null, empty and zero vectors, vectors with null or
     non-finite components, and rows without an id link with nothing. Shorter
     vectors count as padded with zeros. Rows that share an id are one vector
-    (not linked to itself), each of which counts for others; its own links are
-    the mean over its rows, rounded down. Other columns are not read; an empty
-    table gives an empty one.
+    (not linked to itself), each of which counts for others and has its own
+    links. Other columns are not read; an empty table gives an empty one.
 
     Every row is in the index; rows with the same vector are one entry, so a
     vector that a third of all rows have is compared once. A pair is found when
@@ -161,10 +162,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     packed = S.checkpoint(good.mapInArrow(pack, "id long, v binary").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(7), "v")}))
     again = packed.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
     if again.limit(1).count():
-        packed = packed.join(again, "id", "left").withColumn("rid", F.when(F.col("rows").isNotNull(), F.col("id")))
+        packed = packed.join(again, "id", "left").withColumn("rid", F.when(F.col("rows").isNotNull(), F.col("id"))).drop("rows")
     else:
-        packed = packed.withColumns({"rows": F.lit(None).cast("long"), "rid": F.lit(None).cast("long")})
+        packed = packed.withColumn("rid", F.lit(None).cast("long"))
     nodes = packed.groupBy("k1", "k2", "rid").agg(F.min("id").alias("id"), F.count("*").alias("size"), F.any_value("v").alias("v"))
+    node = F.xxhash64("k1", "k2", "rid").alias("node")  # tells the vectors of one id apart
     sample = packed.orderBy(F.xxhash64("id", F.lit(5)), "id", "k1").limit(SAMPLE).select("v").toArrow()
     index = build_index(unit(sample["v"]), n, threshold)
 
@@ -186,15 +188,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
     placed = S.checkpoint(nodes.mapInArrow(assign, "k1 long, k2 long, rid long, id long, size long, v binary, home int, block long, seen binary, visits array<struct<block: long, cells: binary>>"))
     members = placed.groupBy("block").agg(F.count("*").alias("m"))
-    visits = placed.select("id", "size", "v", "home", F.inline("visits"))
+    visits = placed.select(node, "id", "size", "v", "home", F.inline("visits"))
     visitors = visits.groupBy("block").agg(F.count("*").alias("m2"))
     sizes = S.checkpoint(members.join(visitors, "block").select("block", F.ceil(F.col("m") / CHUNK).cast("int").alias("n1"), F.ceil(F.col("m2") / CHUNK).cast("int").alias("n2")))
     chunk = lambda n, salt: F.pmod(F.xxhash64("id", "home", F.lit(salt)), F.col(n)).cast("int")
-    held = placed.join(sizes, "block").select("block", chunk("n1", 1).alias("a"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("b"), "id", "size", "v", "home", "seen")
-    asking = visits.join(sizes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("a"), chunk("n2", 3).alias("b"), "id", "size", "v", "home", "cells")
+    held = placed.join(sizes, "block").select("block", chunk("n1", 1).alias("a"), F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("b"), node, "id", "size", "v", "home", "seen")
+    asking = visits.join(sizes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("a"), chunk("n2", 3).alias("b"), "node", "id", "size", "v", "home", "cells")
 
     def compare(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        out = {"id": [], "links": [], "root": []}
+        out = {"node": [], "id": [], "links": [], "root": []}
         if len(x) and len(y):
             vx, vy = unit(x["v"]), unit(y["v"])
             ix, iy, hx, hy = (t[c].to_numpy() for t, c in ((x, "id"), (y, "id"), (x, "home"), (y, "home")))
@@ -225,20 +227,21 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
                     new = root[at[i]] != root[at[len(ix) + j]]
                     if new.any():
                         root = _forest(np.concatenate([root, at[i[new]]]), np.concatenate([np.arange(len(root)), at[len(ix) + j[new]]]), len(names))
-            for ids, count, places in ((ix, nx, at[: len(ix)]), (iy, ny, at[len(ix) :])):
+            for t, ids, count, places in ((x, ix, nx, at[: len(ix)]), (y, iy, ny, at[len(ix) :])):
                 some = np.flatnonzero((count > 0) | (root[places] != places))
+                out["node"].append(t["node"].to_numpy()[some])
                 out["id"].append(ids[some])
                 out["links"].append(count[some])
                 out["root"].append(names[root[places[some]]])
         return pa.table({k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()})
 
     asking, held = S.fresh(asking), S.fresh(held)
-    linked = S.checkpoint(asking.groupBy("block", "a", "b").cogroup(held.groupBy("block", "a", "b")).applyInArrow(compare, "id long, links long, root long"))
+    linked = S.checkpoint(asking.groupBy("block", "a", "b").cogroup(held.groupBy("block", "a", "b")).applyInArrow(compare, "node long, id long, links long, root long"))
     groups = S.connected_components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    told = placed.select("k1", "k2", F.col("rid").alias("own"), F.col("id").alias("node"), "size").join(counts.withColumnRenamed("id", "node"), "node", "left").join(groups, F.col("node") == groups.v, "left")
-    told = told.select("k1", "k2", "own", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component_id"))
-    rows = packed.select("id", "rid", "rows", "k1", "k2").join(told, ["k1", "k2"]).where(F.col("rid").eqNullSafe(F.col("own")))
-    # Where an id repeats, its nodes' links are added up already; rows of one vector are no links of each other there.
-    n_links = F.when(F.col("rid").isNull(), F.col("size") - 1 + F.col("links")).otherwise(F.col("links") / F.col("rows"))
+    counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    told = placed.select(node, "k1", "k2", F.col("rid").alias("own"), "id", "size").join(counts, "node", "left").join(groups, F.col("id") == groups.v, "left")
+    told = told.select("k1", "k2", "own", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component_id"))
+    rows = packed.select("id", "rid", "k1", "k2").join(told, ["k1", "k2"]).where(F.col("rid").eqNullSafe(F.col("own")))
+    # Rows of one vector are links of each other, but not where they share their id.
+    n_links = F.when(F.col("rid").isNull(), F.col("size") - 1 + F.col("links")).otherwise(F.col("links"))
     return rows.select(F.col("id").alias("vec_id"), n_links.cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept")).unionByName(apart)
