@@ -9,8 +9,9 @@ The passages around hits travel to the partition of their anchor (of the hits
 in them, the block with the smallest hash), neighbours of one anchor as one
 segment of text, once a unit. There each hit is extended: all places with the
 same block are compared word by word, as bytes, to the right and to the left,
-and stay together as far as they agree, so every maximal exact repeat shows,
-without listing pairs. The smallest document keeps each passage.
+and stay together as far as they agree, a window to each side at most. So every
+repeat of a window or more shows, a long one as windows that overlap, without
+listing pairs. The smallest document keeps each passage.
 """
 
 from __future__ import annotations

@@ -253,6 +253,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     itself and takes some 60 bytes of memory a byte. A phrase or segment
     reaches its partition once a unit that holds it, however often the unit
     does. A unit sends a row to each partition for which it has anything.
+    Suffix arrays order SLICE bytes of a partition's segments at a time, whole
+    anchors together; equal windows share an anchor, so none is missed, but the
+    order is that of a slice and not of the corpus.
     """
     if length < TRIGGER:
         raise ValueError(f"length must be at least {TRIGGER}")
