@@ -380,6 +380,26 @@ def _compare_tiles(threshold: float):
     return run
 
 
+def _sharing_rare(rows: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect the sets (component, v, set) which may link, by the prefix filter, which loses none.
+
+    Of two sets that link, each holds all but a share of 1 - threshold of the
+    other. Put in one order, by how many sets of the component have them, one of
+    the first n - threshold * n + 1 shingles of either is then the other's too.
+    What a template shares with all comes late in that order, so documents that
+    have only the template in common stay apart. Each shingle is counted and met
+    once a set; sets that share one are connected to the smallest, never paired.
+    """
+    tokens = rows.select("component", "v", F.size("set").alias("n"), F.explode("set").alias("token"))
+    often = tokens.groupBy("component", "token").agg(F.count(F.lit(1)).alias("often"), F.min("v").alias("a")).where("often > 1")
+    first = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    met = tokens.join(often, ["component", "token"]).groupBy("component", "v", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token", "a"))).alias("shared"))
+    # Shingles that no other set has come first in the order, and connect nothing.
+    left = F.greatest(first - (F.col("n") - F.size("shared")), F.lit(0))
+    edges = met.select(F.explode(F.transform(F.slice("shared", F.lit(1), left), lambda x: x["a"])).alias("a"), F.col("v").alias("b"))
+    return edges.where("a <> b").distinct()
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(the signed rows, each class with its size, links and group)."""
     spark = docs.sparkSession
@@ -390,26 +410,41 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: f
     met = S.connected_components(candidates(classes, threshold))
 
     # Whole sets, of one document per class that met another, in tiles of its component.
-    known = S.checkpoint(met.join(classes.select("v", "class_id", "size", "n"), "v"))
-    wide = known.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
-    members = known.join(wide, "component").select("component", "v", "size", F.col("class_id").alias("id"), "tiles")
+    known = S.checkpoint(met.join(classes.select("v", "class_id", "size", "n"), "v").withColumnRenamed("class_id", "id"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    repeated = bool(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+    def with_sets(members: DataFrame, kind: str, made) -> DataFrame:
+        """The members with `set`, made of the distinct shingles of their texts."""
+        kept = [c for c in members.columns if c != "id"]
+
+        def sets(batches):
+            for batch in batches:
+                for s in range(0, batch.num_rows, 1000):
+                    part = batch.slice(s, 1000)
+                    found = shingle_sets(part.column(part.schema.get_field_index("text")), shingle)
+                    vs = part.column(part.schema.get_field_index("v")).to_pylist()
+                    own = [i for i, x in enumerate(found) if len(x) and set_key(x) == vs[i]]
+                    rows = part.select(kept).take(pa.array(own, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, made([found[i] for i in own])], names=[*kept, "set"])
+
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields if f.name != "id")
+        out = members.join(texts, "id").mapInArrow(sets, f"{schema}, set {kind}")
+        return out.dropDuplicates(["v"]) if repeated else out  # rows that repeat an id may hold one set twice
+
+    tiles_of = F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")
+    wide = S.checkpoint(known.groupBy("component").agg(tiles_of))
+    if wide.where("tiles > 1").limit(1).count():
+        # Members of a component that a tile can't hold meet only where they share one of their rarest shingles.
+        large = with_sets(known.join(wide.where("tiles > 1"), "component").select("component", "v", "id"), "array<bigint>", lambda sets: pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())))
+        parted = S.connected_components(_sharing_rare(large, threshold))
+        small = known.join(wide.where("tiles = 1"), "component").select("component", "v", "id", "size", "n")
+        known = S.checkpoint(small.unionByName(known.drop("component").join(parted, "v").select("component", "v", "id", "size", "n")))
+        wide = known.groupBy("component").agg(tiles_of)
+    members = known.join(wide, "component").select("component", "v", "size", "id", "tiles")
     if known.count() <= FEW:
         members = F.broadcast(members)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-
-    def sets(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
-                found = shingle_sets(part.column(part.schema.get_field_index("text")), shingle)
-                vs = part.column(part.schema.get_field_index("v")).to_pylist()
-                own = [i for i, x in enumerate(found) if len(x) and set_key(x) == vs[i]]
-                rows = part.drop_columns(["id", "text"]).take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([H.pack(np.diff(found[i], prepend=H.U64(0))) for i in own], pa.binary())], names=[*rows.schema.names, "set"])
-
-    whole = members.join(texts, "id").mapInArrow(sets, "component long, v long, size long, tiles int, set binary")
-    if signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        whole = whole.dropDuplicates(["v"])  # rows that repeat an id may hold one set twice
+    whole = with_sets(members, "binary", lambda sets: pa.array([H.pack(np.diff(x, prepend=H.U64(0))) for x in sets], pa.binary()))
     part = F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int")
     dealt = whole.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "v", "size", "part", "set"
@@ -441,9 +476,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text of any length is taken whole: its sketch is of one size, and its set
     goes to a tile by itself where it fills one.
 
-    Links inside a group of m near copies are m * m / 2 comparisons, spread
-    over tiles of at most 2 * TILE shingles (or two longer texts); a set is
-    copied once per TILE shingles of its group.
+    What sketches connect beyond a tile of TILE shingles is parted first, by the
+    rarest shingles of each set, without losing a link (_sharing_rare). Links
+    inside a group of m near copies are m * m / 2 comparisons, spread over tiles
+    of at most 2 * TILE shingles (or two longer texts); a set is copied once per
+    TILE shingles of its group.
     """
     signed, told = _grouped(docs, doc_id, text, shingle, threshold)
     return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v")).join(told, "v", "left").select(
