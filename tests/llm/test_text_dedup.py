@@ -341,3 +341,36 @@ def test_substring_with_contexts_that_differ(spark):
         rows += [(i, " ".join(w), 1, "x", 5, True), (100 - i, "  ".join(w[:-20] + ["z"] * i + w[-9:]), 1, "x", 5, True)]
     got = [tuple(r) for r in substring.drop_seen_passages(spark.createDataFrame(rows, SCHEMA), unit_bytes=900, digest=True).collect()]
     assert sorted(got, key=key) == sorted(brute_words(rows, 50), key=key)
+
+
+def test_documents_of_one_template_are_not_compared_all_pairs(spark, monkeypatch):
+    """Texts that share six tenths with each other, beyond a tile: only those that share more than the template meet."""
+    head = " ".join(f"t{i}" for i in range(100))
+    texts = [f"{head} " + " ".join(f"u{d}_{i}" for i in range(30)) for d in range(300)]
+    texts += [f"{t} more" for t in texts[:5]]
+    rows = [(i, t, 1, "x", 5, True) for i, t in enumerate(texts)]
+    sets = [tuple(t.split()) for t in texts]
+    tokens = [sorted({hash(w[i : i + 5]) for i in range(len(w) - 4)}) for w in sets]
+    edges = ngram_join._sharing_rare(spark.createDataFrame([(0, v, t) for v, t in enumerate(tokens)], "component long, v long, set array<long>"), 0.8)
+    assert sorted(map(tuple, edges.collect())) == [(i, 300 + i) for i in range(5)]
+    monkeypatch.setattr(ngram_join, "TILE", 2000)
+    met = []
+    real = ngram_join.S.connected_components
+    monkeypatch.setattr(ngram_join.S, "connected_components", lambda e, *a: met.append(out := real(e, *a)) or out)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (int(i < 5 or i >= 300), i - 300 if i >= 300 else i) for i in range(305)}
+    assert [m.count() for m in met] == [305, 10, 10]  # what sketches connect, what goes to tiles, what links
+
+
+def test_the_prefix_filter_loses_no_link(spark):
+    rng = random.Random(8)
+    sets = [sorted({rng.choice(range(30)) if rng.random() < 0.8 else rng.randrange(1000) for _ in range(rng.randint(1, 25))}) for _ in range(250)]
+    sets += [sorted(set(s) ^ {rng.randrange(30)}) or [1] for s in sets[:120]]
+    rows = [(v % 2, v, s) for v, s in enumerate(sets)]
+    for at in (0.5, 0.8, 0.95):
+        found = ngram_join.S.connected_components(ngram_join._sharing_rare(spark.createDataFrame(rows, "component long, v long, set array<long>"), at))
+        part = {r.v: r.component for r in found.collect()}
+        for a, (ca, _, x) in enumerate(rows):
+            for b, (cb, _, y) in enumerate(rows[:a]):
+                if ca == cb and len(set(x) & set(y)) >= at * len(set(x) | set(y)) - 1e-9:
+                    assert part[a] == part[b]
