@@ -73,6 +73,11 @@ def bucket_of(visit: Column, path: Column | None = None) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket together, for few files, but in as many tasks as their size asks for."""
+    return rows.hint("rebalance", F.col("bucket"))
+
+
 def run(
     spark: SparkSession, source: str, out: str, listing: DataFrame | None = None, names: bool = True, exact_keys: bool = True,
     renderer: Callable | None = None, reader: Callable | None = None, layouts: DataFrame | None = None, csv: bool = False,
@@ -115,7 +120,7 @@ def run(
         seen = Observation()
         keyless = F.count_if(F.coalesce("imagedir", F.lit("")) == "").alias("unkeyed")
         rows = found.rows.observe(seen, keyless).withColumns({"bucket": bucket_of(F.col("imagedir"), F.col("path")), "commit": F.lit(name)})
-        rows.repartition("bucket").write.mode("append").partitionBy("bucket", "commit").parquet(raw)
+        _by_bucket(rows).write.mode("append").partitionBy("bucket", "commit").parquet(raw)
         counts["unkeyed"] += seen.get["unkeyed"]
         counts["rejected"] += _written(found.rejects, rejected, name)
         looked_at = decoded.where(~F.coalesce(F.col("category").isin(*decode.AGAIN), F.lit(False))).select("path")
@@ -163,7 +168,7 @@ def rebuild(spark: SparkSession, out: str, names: bool = True, commits: list[str
             if commits is not None and incremental.exists(spark, at):
                 kept = spark.read.parquet(at).where(F.col("bucket").isin(folders)).join(touched.select(F.col("imagedir").alias(key)), key, "left_anti")
                 table = table.unionByName(kept, allowMissingColumns=True)
-            settled(table.repartition("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
+            _by_bucket(settled(table)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
             if csv:
                 tables.write_csv(spark.read.parquet(at).drop("bucket").orderBy(key), f"{out}/{name}_csv")
     incremental.commit(rows.select(F.col("commit").alias("path")).distinct().join(behind.withColumnRenamed("commit", "path"), "path", "left_anti"), f"{out}/summarised", None)
