@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from keratoline import dims
 from keratoline.catalog import ORACLE, query, table
 from keratoline.operators import ranking, regress, resolve
-from keratoline.plans import ingest, maps, pages
+from keratoline.plans import ingest, maps, pages, visits
 from keratoline.sinks import tables
-from keratoline.sources import engines, files
+from keratoline.sources import engines, files, records
 
 WIDE_PAGE = "CAST(user_id AS VARCHAR)"
 PAGE = "CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 40 AS VARCHAR)"
@@ -475,3 +475,65 @@ _DATE_OF = "CASE WHEN {0} LIKE '%/%/%' THEN split_part({0}, '/', 3) || lpad(spli
   regexp_replace(time_, '[:.]', '', 'g') AS exam_time, CASE WHEN upper(eye_) LIKE '%RIGHT%' THEN 'OD' WHEN upper(eye_) LIKE '%LEFT%' THEN 'OS' END AS eye FROM p""")
 def header_of_pages(spark, sf_dir):
     return pages.demographics(_frame(spark, sf_dir, _WHOLE_HEADER))
+
+
+# --- crops read twice, private records, raw rows and the visits they make
+
+@query(f"""SELECT crop, value, conf, text FROM (SELECT crop, text, confidence AS conf, CAST(b AS DOUBLE) AS value, row_number() OVER (PARTITION BY crop ORDER BY CAST(confidence AS DOUBLE) * greatest(strlen(b), 3) * greatest(strlen(b), 3) DESC, ord) AS rn
+ FROM (SELECT *, ltrim(text, '([') AS b FROM {_CROPS}) WHERE regexp_matches(b, '^[0-9+-]')) WHERE rn = 1""")
+def best_crop_reading_by_length(spark, sf_dir):
+    """Length counts twice."""
+    return engines.best_reading(_frame(spark, sf_dir, _CROPS), ["crop"], power=2)
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'OS' WHEN 1 THEN 'OD' END AS eye, (800 + user_id * 13 % 900) / 100.0 AS hwtw, user_id % 4 AS d, user_id % 2 = 0 AS shifted FROM u WHERE user_id % 11 <> 0)
+ SELECT user_id, 'HWTW' AS field, CAST(hwtw AS DOUBLE) AS value FROM r WHERE eye IS NOT NULL AND hwtw >= 9 AND hwtw < 15
+ UNION ALL SELECT user_id, 'AC_depth', CASE WHEN shifted THEN 3.5 ELSE 9.25 END - CASE d WHEN 0 THEN 0.5 WHEN 1 THEN -1.25 ELSE 0.25 END FROM r WHERE eye IS NOT NULL AND d <> 3""")
+def record_fields(spark, sf_dir):
+    """Records of the fixed layout, laid out by Spark from the users; those of every eleventh are a byte short."""
+    import struct
+
+    u = F.col("user_id")
+    number = lambda v: struct.pack("<d", v).hex()
+    short = lambda c: F.concat(F.lpad(F.lower(F.hex(c % 256)), 2, "0"), F.lpad(F.lower(F.hex(F.floor(c / 256))), 2, "0"))
+    base = F.element_at(F.array(*map(F.lit, (number(0.5), number(-1.25), number(0.25), number(float("nan"))))), (u % 4 + 1).cast("int"))
+    parts = [(records.EYE_AT, short(u % 3), 2), (records.DIAMETER_AT, short(u * 13 % 900 + 800), 2), (records.FORMAT_AT, short(F.when(u % 2 == 0, records.SHIFTED_FORMAT).otherwise(5)), 2), (records.ARRAY_AT, F.lit(number(3.5) + number(9.25)), 16), (records.ARRAY_AT + 32, base, 8)]
+    text, at = [], 0
+    for place, digits, size in parts:
+        text += [F.repeat(F.lit("00"), place - at), digits]
+        at = place + size
+    text.append(F.repeat(F.lit("00"), F.lit(records.SIZE - at) - F.when(u % 11 == 0, 1).otherwise(0)))
+    rows = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("blob", F.unhex(F.concat(*text)))
+    return records.record_values(records.decode(rows), ["user_id"]).select("user_id", "field", "value")
+
+
+_RAW = """(SELECT event_id, user_id, CASE WHEN user_id % 9 = 0 THEN '' ELSE 'v' || CAST(user_id AS VARCHAR) || CASE event_id % 2 WHEN 0 THEN 'R' ELSE 'L' END END AS imagedir, CASE event_id % 2 WHEN 0 THEN 'OD' ELSE 'OS' END AS eye,
+ CASE event_id * 7 % 4 WHEN 0 THEN 'SR' WHEN 1 THEN 'SPR' ELSE 'FourMapsRefractive' END AS printout_type, '2024010' || CAST(user_id % 9 + 1 AS VARCHAR) AS exam_date, '10' || CAST(user_id % 50 + 10 AS VARCHAR) || '00' AS exam_time,
+ CASE WHEN event_id % 5 <> 0 THEN 40.0 + event_id % 13 * 0.25 END AS kmax, CASE WHEN event_id % 3 = 0 THEN 11.0 + event_id % 8 * 0.125 END AS hwtw, event_id % 40 / 40.0 AS conf FROM events)"""
+_BEST_OF = "coalesce(arg_min({0}, event_id) FILTER (printout_type = '{1}' AND {0} IS NOT NULL), arg_min({0}, event_id) FILTER (printout_type = '{2}' AND {0} IS NOT NULL), arg_max({0}, struct_pack(c := CAST(conf AS FLOAT), e := event_id)) FILTER (printout_type NOT IN ('SR', 'SPR') AND {0} IS NOT NULL))"
+
+
+@query(f"""SELECT imagedir, min(user_id) AS id, CASE min(eye) WHEN 'OD' THEN 1 ELSE 0 END AS righteye, substr(min(exam_date), 3) || min(exam_time) AS timeoftest, CAST(epoch(strptime(min(exam_date) || min(exam_time), '%Y%m%d%H%M%S')) AS BIGINT) AS "timeoftestEpoch",
+  CAST({_BEST_OF.format('kmax', 'SR', 'SPR')} AS DOUBLE) AS "Kmax", CAST({_BEST_OF.format('hwtw', 'SPR', 'SR')} AS DOUBLE) AS "HWTW", count(*) AS n_source_rows, string_agg(DISTINCT printout_type, '|' ORDER BY printout_type) AS source_types
+ FROM {_RAW} WHERE imagedir <> '' GROUP BY imagedir HAVING count(kmax) + count(hwtw) > 0""")
+def visit_tables(spark, sf_dir):
+    """The compact and the detailed table of visits, of raw rows as the ingestion writes them."""
+    rows = _frame(spark, sf_dir, _RAW)
+    raw = rows.select(
+        F.col("event_id").alias("ord"), "imagedir", F.col("user_id").cast("string").alias("id"), F.lit("19800101").alias("birthdate"), "eye", "exam_date", "exam_time", "printout_type", F.lit("d").alias("device_serial"), F.lit("s").alias("software_version"),
+        F.col("kmax").cast("double").alias("Kmax"), F.col("hwtw").cast("double").alias("HWTW"), *[F.col("conf").cast("double").alias(f"{f}_Paddle_conf") for f in ("Kmax", "HWTW")],
+    )
+    compact, detailed = visits.summaries(raw, names=False)
+    about = detailed.select("imagedir", "n_source_rows", "source_types")
+    return compact.join(about, "imagedir").select("imagedir", F.col("id").cast("bigint").alias("id"), "righteye", "timeoftest", "timeoftestEpoch", "Kmax", "HWTW", "n_source_rows", "source_types")
+
+
+@query("""WITH p AS (SELECT '/in/' || CAST(event_id AS VARCHAR) AS path, event_id * 13 % 1000 AS nth, unnest([0, 1, 2]) AS event, event_id % 50 AS v FROM events WHERE event_id % 2 = 0)
+ SELECT path, CAST(event AS INT) AS event, nth AS place, CASE event WHEN 0 THEN 'SR' WHEN 1 THEN 'SPR' ELSE 'FourMapsRefractive' END AS printout_type, CASE event WHEN 0 THEN CAST(v AS DOUBLE) END AS "Kmax", CASE event WHEN 1 THEN CAST(v AS DOUBLE) END AS "HWTW" FROM p""")
+def raw_row_order(spark, sf_dir):
+    """Rows of all parts under one set of columns, with each file's place in the listing."""
+    e = table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("/in/"), F.col("event_id").cast("string")).alias("path"), (F.col("event_id") * 13 % 1000).alias("ord"), (F.col("event_id") % 50).cast("double").alias("v"))
+    base = ingest.bare_rows(e)
+    part = lambda kind, event, **fields: base.join(e, "path").select(base["*"], F.lit(kind).alias("printout_type"), F.lit("ok").alias("qa_status"), F.lit(event).alias("page_number"), F.lit(1).alias("n_fields"), F.lit(event).alias("event"), *[c.alias(n) for n, c in fields.items()])
+    parts = [part("SR", 0, Kmax=F.col("v")), part("SPR", 1, HWTW=F.col("v")), part("FourMapsRefractive", 2)]
+    return ingest.raw_rows(parts, listing=e.select("path", "ord")).select("path", F.col("ord.event").alias("event"), F.col("ord.at").alias("place"), "printout_type", "Kmax", "HWTW")
