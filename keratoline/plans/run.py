@@ -113,7 +113,8 @@ def run(
     commits = []
     for i in range(n):
         name, batch = incremental.new_commit(), dealt.where(F.col("batch") == i)
-        decoded = settled(decode.decode(batch.select("path").distinct(), by, layouts is not None))
+        size = batch.agg(F.sum("length")).first()[0] or 0
+        decoded = settled(decode.decode(batch.select("path").distinct(), by, layouts is not None, size))
         found = file_rows(decoded, batch if "filename" in batch.columns else None, names, exact_keys, order, by, layouts, save_pages, save_maps)
         if found.images is not None:
             counts["images"] += images.save(found.images, found.pages, by, f"{out}/images").where("new").count()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from keratoline.sources import dicom, images
 from keratoline.sources.engines import DPI, Engines, items_of, tried_twice
-from keratoline.sources.files import kind_of
+from keratoline.sources.files import kind_of, spread
 
 ITEM = ["ord", "text", "confidence", "cx", "cy", "x0", "y0", "x1", "y1"]
 PAGE = "struct<page:int,width:int,height:int,page_height:int,category:string,error:string,items:array<struct<ord:int,text:string,confidence:float,cx:float,cy:float,x0:float,y0:float,x1:float,y1:float>>>"
@@ -106,12 +106,13 @@ def _file(path: str, engines: Engines, look: bool) -> dict:
             return row | {"category": UNREADABLE, "error": str(e)}
 
 
-def decode(paths: DataFrame, engines: Engines, look: bool = True) -> DataFrame:
+def decode(paths: DataFrame, engines: Engines, look: bool = True, size: int = 0) -> DataFrame:
     """A row per path: kind, metadata tags, report items and record of a DICOM file, and for all kinds the pages with their text items.
 
     Pages are looked at where `look` and the engines allow; a DICOM file without
     still gives the rest, other files can then not be read. `category` and
-    `error` say why a file, or one of its pages, gave nothing.
+    `error` say why a file, or one of its pages, gave nothing. `size`: bytes of
+    all files, by which they are spread over tasks.
     """
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -120,7 +121,7 @@ def decode(paths: DataFrame, engines: Engines, look: bool = True) -> DataFrame:
             for path in b["path"]:  # one at a time, as pages may hold many items
                 yield pd.DataFrame([dict.fromkeys(columns) | _file(path, engines, look)], columns=columns)
 
-    return paths.select("path").mapInPandas(run, SCHEMA)
+    return spread(paths.select("path"), size).mapInPandas(run, SCHEMA)
 
 
 def pages_of(decoded: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def look_again(asked: DataFrame, pages: DataFrame, engines: Engines, each: Calla
                     columns = zip(*rows, strict=True) if rows else [()] * len(fields)
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    return by_file.mapInArrow(run, schema)
+    return spread(by_file).mapInArrow(run, schema)
 
 
 def read_crops(requests: DataFrame, pages: DataFrame, engines: Engines) -> DataFrame:

@@ -167,6 +167,17 @@ def open_file(path: str):
     return system.open_input_file(at)
 
 
+TASK_BYTES = 128 << 20  # of files that one task opens, where there are so many
+
+
+def spread(rows: DataFrame, size: int = 0) -> DataFrame:
+    """Rows with a path over as many tasks as opening files of `size` bytes wants, four a core at least.
+
+    The rows are small whatever the files are, so left alone a few tasks would get them all.
+    """
+    return rows.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "path")
+
+
 def sized(paths: DataFrame, other: str | None = None) -> DataFrame:
     """The rows with `length`, looked up by the tasks; null where no file is. With `other`, a file is looked for under its path with that after it too."""
     kept = [c for c in paths.columns if c != "length"]
@@ -190,4 +201,4 @@ def sized(paths: DataFrame, other: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lengths, pa.int64())], names=[*kept, "length"])
 
     src = paths.select(*kept)
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("length", T.LongType())]))
+    return spread(src).mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("length", T.LongType())]))
