@@ -26,8 +26,9 @@ def turns_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     """(conv_id, turns): each conversation's turns in order, a turn as hexadecimal digits of its hash and its number of words.
 
     Ordered by turn, null first; of turns with the same number the one of the
-    smaller hash comes first, and rows alike are turns of their own. A null role
-    or text is empty. Rows without a conversation are left out. No text leaves
+    smaller hash comes first, and rows alike are turns of their own. A
+    conversation is one row, 40 digits a turn, so its turns must fit in a task,
+    its texts need not. A null role or text is empty. Rows without a conversation are left out. No text leaves
     the task that reads it: what travels is 20 bytes a turn (of SHA-256 half, so
     different turns are told apart). Other columns are not read.
     """
