@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from keratoline.plans import pages
+from keratoline.plans import flat, pages
 from keratoline.plans.run import BATCH, rebuild, run
 from keratoline.sinks.images import back_up, keep_previous
 from keratoline.sources import engines
@@ -27,6 +27,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--no-images", action="store_true", help="write no maps as images")
     p.add_argument("--no-compact", action="store_true", help="leave out the compact table")
     p.add_argument("--no-detailed", action="store_true", help="leave out the detailed table")
+    p.add_argument("--flat", action="store_true", help="only write one row per page with all it and its file say (OUT/pages, CSV); needs --engines and --layouts")
     p.add_argument("--batch-gb", type=float, default=BATCH / (1 << 30), help="files that are committed together (%(default)s)")
     p.add_argument("--rebuild", action="store_true", help="read no files, make all summaries anew from the raw rows")
     p.add_argument("--backup", metavar="FOLDER", help="copy new images and all tables there afterwards")
@@ -39,7 +40,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("keratoline").getOrCreate()
     counts: dict[str, int] = {}
     skip = tuple(n for n, out in (("compact", o.no_compact), ("detailed", o.no_detailed)) if out)
-    if not o.backup_only:
+    if o.flat:
+        if not (o.engines and o.layouts):
+            raise SystemExit("--flat needs --engines and --layouts")
+        counts = flat.export(spark, o.source, o.out, pages.layout_frame(spark, o.layouts), engines.named(o.engines))
+    elif not o.backup_only:
         for name in ("compact", "detailed"):
             keep_previous(spark, f"{o.out}/{name}")
         if o.rebuild:

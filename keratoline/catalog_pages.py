@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from keratoline import dims
 from keratoline.catalog import ORACLE, query, table
 from keratoline.operators import ranking, regress, resolve
-from keratoline.plans import ingest, maps, pages, visits
+from keratoline.plans import flat, ingest, maps, pages, visits
 from keratoline.sinks import tables
-from keratoline.sources import engines, files, records
+from keratoline.sources import dicom, engines, files, records
 
 WIDE_PAGE = "CAST(user_id AS VARCHAR)"
 PAGE = "CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 40 AS VARCHAR)"
@@ -537,3 +537,26 @@ def raw_row_order(spark, sf_dir):
     part = lambda kind, event, **fields: base.join(e, "path").select(base["*"], F.lit(kind).alias("printout_type"), F.lit("ok").alias("qa_status"), F.lit(event).alias("page_number"), F.lit(1).alias("n_fields"), F.lit(event).alias("event"), *[c.alias(n) for n, c in fields.items()])
     parts = [part("SR", 0, Kmax=F.col("v")), part("SPR", 1, HWTW=F.col("v")), part("FourMapsRefractive", 2)]
     return ingest.raw_rows(parts, listing=e.select("path", "ord")).select("path", F.col("ord.event").alias("event"), F.col("ord.at").alias("place"), "printout_type", "Kmax", "HWTW")
+
+
+@query("""WITH e AS (SELECT *, event_id % 3 = 0 AS dcm, CASE event_id % 5 WHEN 0 THEN 'Fourier' WHEN 1 THEN 'BelinAmbrosio' WHEN 2 THEN NULL ELSE 'FourMapsRefractive' END AS printout_type FROM events)
+ SELECT CAST(event_id AS VARCHAR) || CASE WHEN dcm THEN '.dcm' ELSE '.pdf' END AS filename, CAST(event_id % 2 + 1 AS INT) AS page, printout_type, 'ok' AS qa_status, CASE WHEN dcm THEN CAST(user_id AS VARCHAR) END AS patient_id,
+  CASE WHEN dcm AND event_id % 2 = 0 THEN 'OD' WHEN dcm THEN 'OS' END AS laterality, CASE WHEN dcm THEN '20240131' END AS exam_date,
+  CASE WHEN dcm THEN 'DICOM_A=' || CASE event_id % 4 WHEN 0 THEN '2' WHEN 1 THEN '2.25' WHEN 2 THEN '2.5' ELSE '2.75' END || ';DICOM_B=7' END AS sr_values,
+  CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 50 AS DOUBLE) END AS "Kmax", CASE WHEN event_id % 4 <> 0 THEN CAST(0.5 AS FLOAT) END AS "Kmax_conf", CAST(NULL AS DOUBLE) AS "HWTW"
+ FROM e WHERE printout_type IS NOT NULL""")
+def flat_page_rows(spark, sf_dir):
+    """Pages of all known types beside what a DICOM file says of itself; documents that stand alone say nothing."""
+    i = F.col("event_id")
+    dcm = i % 3 == 0
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("/in/"), F.col("user_id").cast("string"), F.lit("/"), i.cast("string"), F.when(dcm, ".dcm").otherwise(".pdf")).alias("path"), i.cast("string").alias("page_id"), i, "user_id", (i % 2 + 1).cast("int").alias("page"), F.when(dcm, "dcm").otherwise("pdf").alias("kind"),
+    )
+    said = {"patient_id": F.col("user_id").cast("string"), "laterality": F.when(i % 2 == 0, "R").otherwise("L"), "content_date": F.lit("20240131")}
+    measured = lambda code, value: F.struct(F.lit(1).alias("seq"), F.lit(1).alias("depth"), F.lit("NUM").alias("value_type"), F.lit(code).alias("code"), value.alias("value"))
+    codes = F.array(measured("B", F.lit("7.00")), measured("A", F.format_string("%.4f", 2 + i % 4 / 4)))
+    decoded = e.select("path", "kind", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("error"), *[said.get(t, F.lit(None).cast("string")).alias(t) for t in dicom.TAGS], codes.alias("sr"), F.lit(None).cast("binary").alias("blob"))
+    told = e.select("page_id", F.element_at(F.array(*map(F.lit, ("Fourier", "BelinAmbrosio", None, "FourMapsRefractive", "FourMapsRefractive"))), (i % 5 + 1).cast("int")).alias("printout_type"), F.lit(1).alias("n_fields"), F.lit("ok").alias("qa_status"))
+    located = e.where("event_id % 4 <> 0").select("page_id", F.lit("Kmax").alias("field"), (i % 50).cast("double").alias("value"), F.lit(0.5).cast("float").alias("conf"))
+    rows = flat.flat_rows(e, flat.of_file(decoded), told, located)
+    return rows.select("filename", "page", "printout_type", "qa_status", "patient_id", "laterality", "exam_date", "sr_values", "Kmax", "Kmax_conf", "HWTW")

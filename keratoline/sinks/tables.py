@@ -10,9 +10,9 @@ CSV = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "quoteA
 
 
 def plain_number(c: Column, places: int | None = None) -> Column:
-    """A double as text without exponent or trailing zeros, or with fixed places."""
+    """A double as text without exponent or trailing zeros, or with fixed places; null stays null."""
     if places is not None:
-        return F.format_string(f"%.{places}f", c)
+        return F.when(c.isNotNull(), F.format_string(f"%.{places}f", c))
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
     text = c.cast("string")
     exact = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")

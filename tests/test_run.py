@@ -10,10 +10,11 @@ import zlib
 import numpy as np
 import pytest
 from test_pages import layout, make
-from test_sources import make_dicom
+from test_sources import make_dicom, make_record
 
 from keratoline import __main__ as command
-from keratoline.plans import pages, run
+from keratoline.plans import flat, pages, run
+from keratoline.sinks import tables
 from keratoline.sinks.images import put_file
 from keratoline.sources import decode, dicom, engines, files, images
 from keratoline.streaming import incremental
@@ -224,6 +225,46 @@ def test_a_run_that_fails_keeps_the_batches_before(spark, tmp_path):
     assert spark.read.parquet(f"{out}/compact").count() == spark.read.parquet(f"{out}/detailed").count() == spark.read.parquet(f"{out}/sources").count() == 12
 
 
+def test_flat_table_of_pages(spark, tmp_path):
+    """A row per page of any kind of file with what the file says, by extension whatever its case, and nothing of others."""
+    renderer, reader = tagged_fakes({7: make("p")[0], 9: [("x", 0, "nothing known", 0.9, 10.0, 10.0, 0, 0, 0, 0, None)]})
+    source = tmp_path / "in"
+    (source / "deep").mkdir(parents=True)
+    named = make_dicom(document=b"%PDF\x07\x09", blob=make_record()).replace(b"Doe^Ann^M", b"Doe,Ann\"M")
+    for name, data in (("any.DCM", named), ("deep/b.pdf", b"%PDF\x07\x07"), ("c.Png", page_bytes(7)), ("d.bmp", page_bytes(7)), ("e.txt", b"x"), ("none.dcm", make_dicom(document=b"")), ("bad.dcm", b"no dicom")):
+        (source / name).write_bytes(data)
+    out, by = str(tmp_path / "out"), engines.Engines(renderer, reader, images.Decoder, files.open_file)
+    for again in range(2):
+        assert flat.export(spark, str(source), out, pages.layout_frame(spark, layout()), by) == {"pages": 4, "rejected": 3}
+    table = spark.read.options(header=True, escape='"').csv(f"{out}/pages")
+    assert table.columns == flat.COLUMNS and len(flat.COLUMNS) == 17 + 2 * 66
+    rows = {(r.filename, int(r.page)): r for r in table.collect()}
+    assert set(rows) == {("any.DCM", 1), ("b.pdf", 1), ("b.pdf", 2), ("c.Png", 1)}
+    seen = rows["any.DCM", 1]
+    assert (seen.patient_id, seen.patient_name, seen.laterality, seen.exam_time) == ("P1", 'Doe,Ann"M', "OS", "101112")
+    assert (seen.sr_values, seen.blob_HWTW, seen.blob_ACD) == ("DICOM_BAMD=1.75;DICOM_RSAGMIN=7.5", "11.80", "3.00")
+    assert seen.printout_type == "FourMapsRefractive" and seen.Rf_front == rows["c.Png", 1].Rf_front == "7.8" and len(seen.Rf_front_conf.split(".")[1]) == 4
+    assert rows["b.pdf", 2].patient_id is None and rows["b.pdf", 2].sr_values is None and seen.Belin_Df is None and seen.Belin_Df_conf is None
+    assert int(seen.n_fields) == sum(seen[f] is not None for f in flat.dims.FIELDS)
+    why = {(r.category, r.file.rsplit("/", 1)[-1]) for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert why == {("UNKNOWN_PAGE", "any.DCM#2"), (flat.NO_DOCUMENT, "none.dcm"), ("DICOM_ERROR", "bad.dcm")}
+
+    # A path list keeps what is there, whatever it is called, once; one file stands for itself.
+    (tmp_path / "l.txt").write_text(f"{source}/d.bmp\n\n {source}/gone.pdf\n{source}/d.bmp\n")
+    layouts = pages.layout_frame(spark, layout())
+    rows, rejects = flat.flat_pages(spark, str(tmp_path / "l.txt"), layouts, by)
+    assert rejects.count() == 0 and [(r.path, r.page) for r in rows.collect()] == [(f"{source}/d.bmp", 1)]
+    assert [r.filename for r in flat.flat_pages(spark, str(source / "c.Png"), layouts, by)[0].collect()] == ["c.Png"]
+    with pytest.raises(SystemExit, match="needs"):
+        command.main([str(source), out, "--flat"], spark)
+
+
+def test_blank_numbers_stay_blank(spark, tmp_path):
+    """A null confidence or reliability is an empty cell, not the word null."""
+    tables.write_csv(spark.createDataFrame([(1, 0.5, None, None), (2, None, 0.25, 3.0)], "n int, a_conf float, a_reliability float, v double").orderBy("n"), str(tmp_path / "t"))
+    assert [x for p in sorted(glob.glob(f"{tmp_path}/t/part-*")) for x in open(p).read().splitlines() if x[0] != "n"] == ["1,0.5000,,", "2,,0.250,3"]
+
+
 def test_summaries_follow_what_is_new(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
