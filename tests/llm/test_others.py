@@ -255,6 +255,52 @@ def test_top_k_bounds_hold_and_prune():
     assert (bound >= floor[:, None]).sum(1).mean() < 4
 
 
+def test_top_k_scores_are_exact_whole_numbers(spark):
+    """Scores that no double tells apart, in each range of sizes, and an error for what 64 bits can't hold."""
+    for big in (2**12, 2**20 + 1, 2**30):  # components of 2**22, 2**30 and 2**40
+        rows = [(0, [float(big), 1 / 1024, float(big)])] + [(i, [float(big), float(i) / 1024, -float(big) if i % 2 else 1.0]) for i in range(1, 40)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = sorted((-sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(rows[0][1], v, strict=True)), i) for i, v in rows[1:])
+        if -want[0][0] < 2**63 - 1:
+            got = topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()
+            assert [(-r.score, r.vec_id) for r in got] == want[:10]
+        else:
+            with pytest.raises(Exception, match="beyond 64 bits"):
+                topk.top_k(df, F.col("vec_id") == 0).collect()
+    with pytest.raises(OverflowError, match="beyond 62 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), F.lit(True))
+    rng = np.random.default_rng(4)
+    for size in (2**12, 2**28, 2**40):
+        q, x = (np.floor(rng.uniform(-size, size, (5, 6))) for _ in range(2))
+        x[0] = 0 * x[0]
+        x[0, 0] = 7
+        if size == 2**40:  # terms beyond 64 bits whose sums are not
+            q[:, 1], x[:, 1], q[:, 2:], x[:, 2:] = -q[:, 0], x[:, 0] - 1, 0, 0
+        got = topk.products(q, x, 6.0 * size * size)
+        assert got.dtype == np.int64 and got.tolist() == [[sum(int(a) * int(b) for a, b in zip(v, w, strict=True)) for w in x] for v in q]
+
+
+def test_top_k_goes_only_where_groups_reach():
+    """Of queries that are searched together none misses a cell that its own bound reaches, and most cells are met by few."""
+    rng = np.random.default_rng(3)
+    heads = 40 * rng.standard_normal((20, 6))
+    x = np.floor(np.concatenate([h + rng.standard_normal((60, 6)) for h in heads]) * 64)
+    cells = topk.Cells(topk.net(x[rng.permutation(len(x))[:400]], 20))
+    cell, far = cells.place(x)
+    radius = np.array([far[cell == c].max(initial=-np.inf) for c in range(len(cells.centres))])
+    q = x[rng.permutation(len(x))[:500]]
+    floor = np.sort((q @ x.T).astype(np.int64), 1)[:, -11]
+    seen, rows = {}, 0
+    for leaf, at, reach in cells.reached(q, floor, radius):
+        rows += int(reach.any(0).sum())
+        for i, r in zip(leaf, reach, strict=True):
+            assert i not in seen
+            seen[i] = set(at[r])
+    want = cells.bounds(q, radius) >= floor[:, None]
+    assert len(seen) == len(q) and all(seen[i] == set(np.flatnonzero(want[i])) for i in seen)
+    assert rows < want.sum() / 5
+
+
 def test_top_k_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1024 * 2048), (0, 2, 2, 1024 * 2048)]
