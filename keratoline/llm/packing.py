@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -97,12 +98,21 @@ class Words(dict):
         return ids
 
 
+def by_words(file: dict) -> bool:
+    """Whether a tokenizer file, parsed, cuts by the usual byte-level pattern and by nothing else, and merges without chance."""
+    cut, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    return bool(usual and not file.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, with the words met lately kept.
 
     The vocabulary's pattern always cuts before a space that follows other than
     white space, so text between such spaces can be encoded by itself. A text
-    with a string of the tokenizer's added tokens is encoded in one go.
+    with a string of the tokenizer's added tokens is encoded in one go, and so
+    are all texts where the file has another pattern, a normaliser or a model of
+    another kind (by_words() tells).
     """
 
     ODD = re.compile(r"\s ")
@@ -115,10 +125,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.words = Words(self.tokenizer, keep)
+        self.whole = not by_words(json.loads(self.tokenizer.to_str()))
 
     def __call__(self, text: str) -> bytes:
-        if self.ODD.search(text) or any(t in text for t in self.added):
+        if self.whole or self.ODD.search(text) or any(t in text for t in self.added):
             return self.words.encode(text)
         head, *rest = text.split(" ")
         return self.words.encode(head) + b"".join(map(self.words.__getitem__, rest))
@@ -138,7 +151,8 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     documents of their own; null ids are allowed; other columns are not read;
     an empty table gives an empty one; texts of any length are encoded whole.
     A string of the tokenizer's added tokens becomes that token, as the
-    tokenizer has it.
+    tokenizer has it. Any tokenizer file gives its own ids; words are kept with
+    theirs only where its rules allow that.
     """
     return _mapped(docs, tokenizer_path, doc_id, text, size, open_bins, False)
 

@@ -1,6 +1,7 @@
 """Toxicity, packing, search, vectors, SentencePiece, chat, sharding and the pipeline on small fixtures."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -79,6 +80,24 @@ def test_what_is_kept_goes_when_another_operator_begins():
     assert _kept.kept("a", "x", make) is not one
 
 
+def test_packing_takes_any_tokenizer_file(tmp_path):
+    """Files with rules of their own give the ids that the library gives; the usual byte-level file alone is encoded by words."""
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  World, it's 3 o'clock", "NAÏVE café\n\ta b ", "", " x", "a<|endoftext|>b c", "don't STOP 1234 !?"]
+    files = {"given": BPE, "words": public_tokenizers.path("word_bpe_49k.json")}
+    for name, change in (("prefix", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}), ("lower", {"normalizer": {"type": "Lowercase"}}), ("cut", {"truncation": {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}})):
+        files[name] = str(tmp_path / f"{name}.json")
+        with open(files[name], "w") as f:
+            json.dump(json.loads(Tokenizer.from_file(BPE).to_str()) | change, f)
+    for name, path in files.items():
+        encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+        plain.no_truncation()
+        assert encoder.whole == (name not in ("given", "cut"))
+        for text in texts * 2:
+            assert np.frombuffer(encoder(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (name, text)
+
+
 def test_packing_takes_pieces_as_they_come():
     """Against best fit written plainly: over all open bins, least room that is enough, else close the fullest."""
     rng = random.Random(4)
