@@ -124,6 +124,8 @@ class Search:
     def compare(self, rows: np.ndarray, cols: np.ndarray) -> None:
         got = products(self.q[rows], self.x[cols], self.most)
         got[(self.q_ids[rows, None] == self.ids[None, cols]) | (got < self.floor[rows, None])] = NONE
+        change = (got >= np.maximum(self.score[rows, -1], NONE + 1)[:, None]).any(1)
+        rows, got = rows[change], got[change]
         score = np.concatenate([self.score[rows], got], 1)
         ids = np.concatenate([self.id[rows], np.broadcast_to(self.ids[cols], got.shape)], 1)
         best = np.lexsort((ids, ~score), axis=1)[:, : self.k]
