@@ -53,6 +53,27 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def may_be_among(rows: DataFrame, key: str, ids: DataFrame, count: int, most: int = 1 << 28) -> DataFrame:
+    """The rows whose key is among `ids` (column `id`, `count` of them), and about one in seventeen of the others.
+
+    Ids set bits by their hash, 16 to 32 bits for each, up to `most` bits (32 MB),
+    which go to every task, so that the rows need not be moved to be looked up.
+    With more ids than that allows more of the others pass, and none of the ids'
+    rows is lost. Rows without a key do not pass.
+    """
+    width = 32_768  # bits of one of bitmap_construct_agg's bitmaps
+    bits = min(most, max(width, 1 << (16 * count - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(16), c), F.lit(bits))
+    part = lambda c: F.shiftright(place(c), width.bit_length() - 1)
+    at = lambda c: F.pmod(place(c), F.lit(width))
+    told, kept = unused(rows.columns, "__part"), unused(rows.columns, "__bits")
+    set_bits = ids.select(part(F.col("id")).alias(told), at(F.col("id")).alias("at")).repartition(shuffle_partitions(rows.sparkSession), told)
+    maps = set_bits.groupBy(told).agg(F.bitmap_construct_agg("at").alias(kept))
+    byte = F.conv(F.hex(F.substring(F.col(kept), (at(F.col(key)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = rows.where(F.col(key).isNotNull()).withColumn(told, part(F.col(key))).join(F.broadcast(maps), told)
+    return met.where(F.getbit(byte, F.pmod(at(F.col(key)), F.lit(8)).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that no column has, upper and lower case being alike."""
     taken = {c.lower() for c in columns}

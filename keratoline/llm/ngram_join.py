@@ -37,7 +37,7 @@ HELD = 16_384  # classes of a bucket that one task splits
 DEPTH = 4  # splits below a bucket; what is left then is compared whole
 LIKE = 0.9  # share of the threshold which a member's mean likeness to its bucket needs to leave the split
 TILE = 400_000  # shingles of one side of a tile
-FEW = 200_000  # classes that met another, up to which they go to the texts and not the texts to them
+FEW = 200_000  # classes that met another, up to which they go to the texts; beyond, texts that may be theirs go to them
 _MULTIPLIERS = H.mix(np.arange(1, TOKENS + 1, dtype=H.U64) * H.U64(0xD1342543DE82EF95)) | H.U64(1)
 
 
@@ -429,7 +429,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: f
                     yield pa.RecordBatch.from_arrays([*rows.columns, made([found[i] for i in own])], names=[*kept, "set"])
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields if f.name != "id")
-        out = members.join(texts, "id").mapInArrow(sets, f"{schema}, set {kind}")
+        count = members.count()
+        some = F.broadcast(members).join(texts, "id") if count <= FEW else members.join(S.may_be_among(texts, "id", members, count), "id")
+        out = some.mapInArrow(sets, f"{schema}, set {kind}")
         return out.dropDuplicates(["v"]) if repeated else out  # rows that repeat an id may hold one set twice
 
     tiles_of = F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")
@@ -442,8 +444,6 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: f
         known = S.checkpoint(small.unionByName(known.drop("component").join(parted, "v").select("component", "v", "id", "size", "n")))
         wide = known.groupBy("component").agg(tiles_of)
     members = known.join(wide, "component").select("component", "v", "size", "id", "tiles")
-    if known.count() <= FEW:
-        members = F.broadcast(members)
     whole = with_sets(members, "binary", lambda sets: pa.array([H.pack(np.diff(x, prepend=H.U64(0))) for x in sets], pa.binary()))
     part = F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int")
     dealt = whole.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(

@@ -362,6 +362,46 @@ def test_documents_of_one_template_are_not_compared_all_pairs(spark, monkeypatch
     assert [m.count() for m in met] == [305, 10, 10]  # what sketches connect, what goes to tiles, what links
 
 
+@pytest.mark.parametrize("few", [ngram_join.FEW, 0])
+def test_texts_that_met_nothing_are_not_moved(spark, monkeypatch, few):
+    """A component beyond a tile among long texts of their own: the shuffles hold less than a quarter of the texts, as they lie on disk."""
+    rng = random.Random(5)
+    lone = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(6000)) for _ in range(200)]
+    near = [f"{' '.join(f't{i}' for i in range(300))} own{d}" for d in range(20)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lone + near)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_join, "TILE", 2000)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    docs = ngram_join.S.checkpoint(docs)
+
+    def written():
+        all_ = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: (0, i) if i < 200 else (19, 200) for i in range(220)}
+    assert written() - before < sum(map(len, lone)) / 4
+
+
+def test_keys_found_by_bits(spark):
+    """Every row of the ids is found whatever the room, and few others; null keys are not, repeats and clashing names stay."""
+    rows = [(i, f"x{i}", i) for i in range(-3000, 3000)] + [(7, "again", 0), (None, "none", 1)]
+    docs = spark.createDataFrame(rows, "id long, text string, __part long")
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 3)], "id long")
+    for most in (1 << 28, 1 << 15):
+        met = ngram_join.S.may_be_among(docs, "id", ids, 1000, most)
+        assert met.columns == docs.columns
+        got = [tuple(r) for r in met.collect()]
+        assert len(set(got)) == len(got) < 1600 and set(got) <= set(rows)
+        assert set(got) >= {r for r in rows if r[0] is not None and r[0] >= 0 and r[0] % 3 == 0}
+    assert ngram_join.S.may_be_among(docs, "id", ids, 1000, 1 << 15).count() < ngram_join.S.may_be_among(docs, "id", docs.where("id is not null").select("id"), 6001, 1 << 15).count()
+    assert ngram_join.S.may_be_among(docs, "id", ids.limit(0), 0).count() == 0
+
+
 def test_the_prefix_filter_loses_no_link(spark):
     rng = random.Random(8)
     sets = [sorted({rng.choice(range(30)) if rng.random() < 0.8 else rng.randrange(1000) for _ in range(rng.randint(1, 25))}) for _ in range(250)]
