@@ -495,15 +495,16 @@ def record_fields(spark, sf_dir):
 
     u = F.col("user_id")
     number = lambda v: struct.pack("<d", v).hex()
-    short = lambda c: F.concat(F.lpad(F.lower(F.hex(c % 256)), 2, "0"), F.lpad(F.lower(F.hex(F.floor(c / 256))), 2, "0"))
-    base = F.element_at(F.array(*map(F.lit, (number(0.5), number(-1.25), number(0.25), number(float("nan"))))), (u % 4 + 1).cast("int"))
-    parts = [(records.EYE_AT, short(u % 3), 2), (records.DIAMETER_AT, short(u * 13 % 900 + 800), 2), (records.FORMAT_AT, short(F.when(u % 2 == 0, records.SHIFTED_FORMAT).otherwise(5)), 2), (records.ARRAY_AT, F.lit(number(3.5) + number(9.25)), 16), (records.ARRAY_AT + 32, base, 8)]
-    text, at = [], 0
-    for place, digits, size in parts:
-        text += [F.repeat(F.lit("00"), place - at), digits]
+    short = lambda c: F.unhex(F.concat(F.lpad(F.lower(F.hex(c % 256)), 2, "0"), F.lpad(F.lower(F.hex(F.floor(c / 256))), 2, "0")))
+    base = F.element_at(F.array(*[F.lit(struct.pack("<d", v)) for v in (0.5, -1.25, 0.25, float("nan"))]), (u % 4 + 1).cast("int"))
+    parts = [(records.EYE_AT, short(u % 3), 2), (records.DIAMETER_AT, short(u * 13 % 900 + 800), 2), (records.FORMAT_AT, short(F.when(u % 2 == 0, records.SHIFTED_FORMAT).otherwise(5)), 2), (records.ARRAY_AT, F.unhex(F.lit(number(3.5) + number(9.25))), 16), (records.ARRAY_AT + 32, base, 8)]
+    data, at = [], 0
+    for place, bytes_, size in parts:
+        data += [F.lit(bytes(place - at)), bytes_]
         at = place + size
-    text.append(F.repeat(F.lit("00"), F.lit(records.SIZE - at) - F.when(u % 11 == 0, 1).otherwise(0)))
-    rows = table(spark, sf_dir, "events").select("user_id").distinct().withColumn("blob", F.unhex(F.concat(*text)))
+    data.append(F.when(u % 11 == 0, F.lit(bytes(records.SIZE - at - 1))).otherwise(F.lit(bytes(records.SIZE - at))))
+    # explode: else decode()'s conditions move below the distinct and lay a record out several times for each event.
+    rows = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.explode(F.array(F.concat(*data))).alias("blob"))
     return records.record_values(records.decode(rows), ["user_id"]).select("user_id", "field", "value")
 
 

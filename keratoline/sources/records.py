@@ -23,13 +23,13 @@ def u16(content: Column, at: int) -> Column:
     return F.conv(F.concat(F.hex(F.substring(content, at + 2, 1)), F.hex(F.substring(content, at + 1, 1))), 16, 10).cast("int")
 
 
-def _depth(content: pd.Series, shifted: pd.Series) -> pd.Series:
+def _depth(row: pd.Series, shifted: pd.Series) -> pd.Series:
     def one(data: bytes, shift: bool) -> float | None:
-        row = np.frombuffer(data, "<f8", count=ROW // 8, offset=ARRAY_AT)
-        value = float(row[0 if shift else 1] - row[4])
+        numbers = np.frombuffer(data, "<f8", count=ROW // 8)
+        value = float(numbers[0 if shift else 1] - numbers[4])
         return None if np.isnan(value) else value
 
-    return pd.Series([None if d is None or len(d) != SIZE else one(d, bool(s)) for d, s in zip(content, shifted, strict=True)], dtype="object")
+    return pd.Series([None if d is None else one(d, bool(s)) for d, s in zip(row, shifted, strict=True)], dtype="object")
 
 
 def decode(rows: DataFrame, content: str = "blob") -> DataFrame:
@@ -43,7 +43,8 @@ def decode(rows: DataFrame, content: str = "blob") -> DataFrame:
     eye = F.when(u16(data, EYE_AT) == 1, "OD").when(u16(data, EYE_AT) == 0, "OS")
     diameter = u16(data, DIAMETER_AT) / 100
     name = F.decode(F.substring(data, FILE_AT + 1, FILE_SIZE), "ISO-8859-1")
-    depth = F.pandas_udf(_depth, "double")(data, u16(data, FORMAT_AT) == SHIFTED_FORMAT)
+    row = F.when(F.octet_length(data) == SIZE, F.substring(data, ARRAY_AT + 1, ROW))  # a batch to Python holds rows of 48 bytes, not records
+    depth = F.pandas_udf(_depth, "double")(row, u16(data, FORMAT_AT) == SHIFTED_FORMAT)
     exact = F.struct(
         eye.alias("eye"), F.when((diameter >= 9) & (diameter < 15), diameter).alias("cornea_dia_mm"), depth.alias("acd_mm"),
         F.substring_index(name, "\0", 1).alias("exam_file"), u16(data, FORMAT_AT).alias("blob_format"),

@@ -176,3 +176,13 @@ def test_images_and_engine(spark):
     assert images.ink_span(paper, 1, 0, 9) == (4, 5) and images.ink_span(paper, 0, 0, 9) is None
     rows = engines.items_of(FakeReader().read(im) if not FakeReader.fail else [(" a ", 0.5, [(0, 0), (2, 4)])], "p", None)
     assert rows[0][2] in ("a", "43.1") and rows[0][4:6] == (1.0, 2.0)
+
+
+def test_records_are_laid_out_once_a_user(spark, data):
+    """Nothing of a record is computed below the exchange that makes users distinct, and Python gets the row of the depth alone."""
+    from keratoline import catalog_pages
+
+    plan = catalog_pages.record_fields(spark, data)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "octet_length" not in below and "conv(" not in below and "octet_length" in above
+    assert "substring(blob#" in above.split("ArrowEvalPython", 1)[1].split("]", 1)[0]
