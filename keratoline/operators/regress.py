@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keratoline.operators.median import exact_median
+
 
 def line(y: str | Column, x: str | Column, flat: Column | None = None) -> tuple[Column, Column]:
     """(slope, intercept) aggregates. Where x does not vary: slope 1, intercept 0 or `flat`."""
@@ -20,7 +22,8 @@ def affine_fit(pairs: DataFrame, group: Sequence[str], y: str, y_ref: str, x: st
     Under `least` pairs give the identity with 0 inliers. Pairs off the first
     line by `limit` or more are left out of a second fit if `least` remain.
     resid_std is the population deviation of the inliers' residuals, delta_x
-    the median shift in x. Two aggregations, whatever the number of groups.
+    the median shift in x, by operators.median, so groups may be of any size; of
+    shifts, NaN is the largest. Two aggregations besides, whatever the number of groups.
     """
     axes = [("y", y, y_ref)] + ([("x", x, x_ref)] if x else [])
     aggs = [F.count("*").alias("n_pairs")]
@@ -28,8 +31,15 @@ def affine_fit(pairs: DataFrame, group: Sequence[str], y: str, y_ref: str, x: st
         slope, start = line(at, ref)
         aggs += [slope.alias(f"a0_{name}"), start.alias(f"b0_{name}")]
     if x:
-        aggs.append(F.median(F.col(x) - F.col(x_ref)).alias("shift"))
+        shift = (F.col(x) - F.col(x_ref)).cast("double")
+        aggs += [F.count(shift).alias("n_shift"), F.count_if(F.isnan(shift)).alias("n_nan")]
     first = pairs.groupBy(*group).agg(*aggs)
+    if x:
+        # NaN takes no part in exact_median: it goes there as infinite, and is put back where a middle rank falls on it.
+        shifts = pairs.select(*group, F.when(F.isnan(shift), F.lit(float("inf"))).otherwise(shift).alias("__shift"))
+        medians = exact_median(shifts, list(group), "__shift").withColumnRenamed("median", "shift")
+        upper = F.floor(F.col("n_shift") / 2) + 1
+        first = first.join(medians, list(group), "left").withColumn("shift", F.when(upper > F.col("n_shift") - F.col("n_nan"), F.when(F.col("n_shift") > 0, F.lit(float("nan")))).otherwise(F.col("shift"))).drop("n_shift", "n_nan")
     marked = pairs.join(first, list(group))
     again = []
     for name, at, ref in axes:

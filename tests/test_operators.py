@@ -162,3 +162,16 @@ def test_median_of_groups_of_any_size(spark):
         got = {r.g: r.median for r in median.exact_median(df, ["g"], "v", held, accuracy).collect()}
         assert got == pytest.approx({g: m for g, m in want.items() if m is not None})
     assert median.exact_median(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_affine_fit_holds_no_group_in_one_task(spark):
+    """The median shift has no aggregate that keeps a group's values; nulls, NaN, even and odd sizes are as F.median has them."""
+    nan = float("nan")
+    rows = [("a", float(i), float(i * i)) for i in range(7)] + [("b", float(i), float(-i)) for i in range(8)] + [("n", 1.0, x) for x in (1.0, 2.0, 3.0, 4.0, nan, None)]
+    rows += [("m", 1.0, x) for x in (1.0, 2.0, 3.0, nan, nan, nan)] + [("z", 1.0, None)] * 6
+    df = spark.createDataFrame(rows, "g string, r double, x double")
+    out = regress.affine_fit(df, ["g"], "r", "r", "x", "r")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan
+    want = {r.g: str(r.m) for r in df.groupBy("g").agg(F.median(F.col("x") - F.col("r")).alias("m")).collect()}
+    assert {r.g: str(r.delta_x) for r in out.collect()} == want
